@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codetrellis.functions import scores
-from codetrellis.session import REPO_KEYS, top_k
+from codetrellis.session import REPO_KEYS, consecutive, top_k
 
 # fixed values: what counts as a movement
 MIN_SPAN_CHANGE = 12
@@ -43,14 +43,9 @@ def cycle_record(components: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def successions(scans: DataFrame) -> DataFrame:
-    """``(repo, previous, snap)`` for every scan that has a predecessor (K3).
-
-    One row per scan; the window holds the scans of one repository.
-    """
-    order = Window.partitionBy("repo").orderBy("scanned_at", "snap")
-    return scans.withColumn("previous", F.lag("snap").over(order)).filter("previous IS NOT NULL").select(
-        "repo", "previous", "snap"
-    )
+    """``(repo, previous, snap)`` for every scan that has a predecessor (K3)."""
+    pairs = consecutive(scans.select("repo", "snap", "scanned_at").distinct(), ["repo"], ["scanned_at", "snap"])
+    return pairs.select("repo", F.col("snap").alias("previous"), F.col("next_snap").alias("snap"))
 
 
 def _both_scans(history: DataFrame, pairs: DataFrame, key: str, values: list[str]) -> DataFrame:

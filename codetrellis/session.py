@@ -68,6 +68,20 @@ def distributed_rank(df: DataFrame, group: list[str], order: list[str], out: str
     )
 
 
+def consecutive(df: DataFrame, group: list[str], order: list[str], prefix: str = "next_") -> DataFrame:
+    """Each row next to the row that follows it in its group; the last one drops out.
+
+    The successor's columns get ``prefix``. Positions are dealt out by range, so
+    one group may hold most of the rows.
+    """
+    ranked = distributed_rank(df, group, order, "_at")
+    rest = [c for c in df.columns if c not in group]
+    follower = ranked.select(
+        *group, (F.col("_at") - 1).alias("_at"), *[F.col(c).alias(prefix + c) for c in rest]
+    )
+    return ranked.join(follower, group + ["_at"]).drop("_at")
+
+
 def top_k(df: DataFrame, group: list[str], order: list, k: int | None, out: str = "rank") -> DataFrame:
     """First ``k`` rows of every group in a total order, 1-based rank in ``out``.
 
