@@ -59,12 +59,17 @@ def _family_patterns(family: str) -> tuple[str, str, str]:
 
 
 def _blank_chunk(chunk: Column, marker: str) -> Column:
-    body = F.regexp_replace(chunk, "[^\\n]", " ")
-    spans_lines = body.contains("\n") & ~body.endswith("\n")
-    closed = F.when(
-        spans_lines, F.concat(F.left(body, F.length(body) - F.lit(1)), F.lit(TRIVIA_END))
-    ).otherwise(body)
-    return F.concat(F.lit(marker), F.substr(closed, F.lit(2)))
+    def spaces(text: Column) -> Column:
+        return F.regexp_replace(text, "[^\\n]", " ")
+
+    inner = F.length(chunk) - 1
+    return (
+        F.when(~chunk.contains("\n"), F.concat(F.lit(marker), F.repeat(F.lit(" "), inner)))
+        .when(chunk.endswith("\n"), F.concat(F.lit(marker), spaces(F.substr(chunk, F.lit(2)))))
+        .otherwise(
+            F.concat(F.lit(marker), spaces(F.substr(chunk, F.lit(2), inner - 1)), F.lit(TRIVIA_END))
+        )
+    )
 
 
 def _blank(content: Column, family: str) -> Column:
@@ -94,8 +99,15 @@ def blank_trivia(content: Column, language: Column) -> Column:
     return result
 
 
-def _by_file(files: DataFrame) -> DataFrame:
-    return with_file_key(files).select(*FILE_KEY, "language", "content").repartition(*FILE_KEY)
+def by_file(files: DataFrame) -> DataFrame:
+    """Hash whole files to partitions; later steps inside a file then need no shuffle.
+
+    Text grows many times over when it becomes tokens, so the number of
+    partitions is the session's ``spark.sql.shuffle.partitions`` and is not
+    coalesced; size it for some 16 MB of source text per partition.
+    """
+    count = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return with_file_key(files).select(*FILE_KEY, "language", "content").repartition(count, *FILE_KEY)
 
 
 def first_code_point(text: Column) -> Column:
@@ -108,25 +120,57 @@ def is_word(text: Column) -> Column:
     return c.between(97, 122) | c.between(65, 90) | (c == 95) | (c >= 128)
 
 
+def _token_lines(content: Column, language: Column) -> Column:
+    """Array of (line, indent, words) of a file; a tab indents by four."""
+
+    def one(body: Column, at: Column) -> Column:
+        width = F.length(body) - F.length(F.ltrim(body, F.lit(" \t\r")))
+        lead = F.left(body, width)
+        tabs = width - F.length(F.replace(lead, F.lit("\t"), F.lit("")))
+        after_trivia = F.substr(body, width + 1, F.lit(1)) == TRIVIA_END
+        return F.struct(
+            (at + 1).alias("line"),
+            F.when(after_trivia, 0).otherwise(width + 3 * tabs).cast("int").alias("indent"),
+            F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)).alias("words"),
+        )
+
+    return F.transform(F.split(blank_trivia(content, language), "\n"), one)
+
+
+def token_arrays(files: DataFrame) -> DataFrame:
+    """One row per file with the array of its tokens, comments and strings left out."""
+
+    def words(x: Column) -> Column:
+        return F.transform(
+            x["words"],
+            lambda text, at: F.struct(
+                x["line"].alias("line"), x["indent"].alias("indent"), (at == 0).alias("first_on_line"), text.alias("text")
+            ),
+        )
+
+    lines = by_file(files).select(
+        *FILE_KEY, "language", _token_lines(F.col("content"), F.col("language")).alias("lines")
+    )
+    return lines.select(
+        *FILE_KEY,
+        "language",
+        F.filter(
+            F.flatten(F.transform("lines", words)), lambda t: ~t["text"].isin(COMMENT, STRING, TRIVIA_END)
+        ).alias("tokens"),
+    )
+
+
 def tokens(files: DataFrame, trivia: bool = False) -> DataFrame:
     """``files(repo, snap, path, language, content)`` to one row per token.
 
     Columns: file key, language, line, pos (order inside the line), text, indent,
     first_on_line. With ``trivia`` comments and strings are rows too.
     """
-    lines = _by_file(files).select(
-        *FILE_KEY,
-        "language",
-        F.posexplode(F.split(blank_trivia(F.col("content"), F.col("language")), "\n")).alias("line", "body"),
+    lines = by_file(files).select(
+        *FILE_KEY, "language", F.explode(_token_lines(F.col("content"), F.col("language"))).alias("l")
     )
-    lead = F.regexp_extract("body", "^[ \\t\\r]*", 0)
-    indent = (F.length(lead) + 3 * (F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit(""))))).cast("int")
     parts = lines.select(
-        *FILE_KEY,
-        "language",
-        (F.col("line") + 1).alias("line"),
-        F.when(F.ltrim("body").startswith(TRIVIA_END), F.lit(0)).otherwise(indent).alias("indent"),
-        F.posexplode(F.regexp_extract_all("body", F.lit(TOKEN), F.lit(0))).alias("pos", "text"),
+        *FILE_KEY, "language", "l.line", "l.indent", F.posexplode("l.words").alias("pos", "text")
     ).withColumn("first_on_line", F.col("pos") == 0)
     if trivia:
         return parts.filter(F.col("text") != TRIVIA_END)

@@ -3,7 +3,7 @@
 Works on the token table with windows that never leave a file. Files were
 hashed to partitions as text, so none of the windows below shuffles again:
 
-1. neighbours and running depths of every token; uninteresting tokens dropped
+1. tokens that can matter, with their neighbours; running depths
 2. matching parentheses, for declarations known by their shape
 3. one row per event: open, close, branch, call, nest
 4. events inside a signature that was already consumed are dropped
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codetrellis.functions import rules
-from codetrellis.operators.lexing import is_word, tokens
+from codetrellis.operators.lexing import is_word, token_arrays
 from codetrellis.sources.corpus import FILE_KEY
 
 _NEVER = 1 << 60
@@ -35,129 +35,183 @@ def _is_control(language: Column, word: Column) -> Column:
     )
 
 
-def _neighbours(parts: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*FILE_KEY).orderBy("line", "pos")
+def _implemented(at: Column) -> Column:
+    """Place and text of the last name in an ``impl`` header, null when it never ends.
+
+    The header is the run of names, ``<``, ``>`` and ``,`` after the word. It is
+    looked for in a short stretch first, in the rest of the file after that.
+    """
+
+    def within(stretch: Column) -> Column:
+        ends = F.filter(
+            F.transform(
+                stretch,
+                lambda t, k: F.when(is_word(t["text"]) | t["text"].isin("<", ">", ","), None).otherwise(k),
+            ),
+            lambda k: k.isNotNull(),
+        )
+        header = F.slice(stretch, F.lit(1), F.get(ends, F.lit(0)))
+        names = F.filter(
+            F.transform(
+                header,
+                lambda t, k: F.when(
+                    is_word(t["text"]), F.struct((at + 2 + k).cast("bigint").alias("rn"), t["text"].alias("text"))
+                ),
+            ),
+            lambda n: n.isNotNull(),
+        )
+        return F.when(F.size(ends) > 0, F.try_element_at(names, F.lit(-1)))
+
+    every = F.col("tokens")
+    return F.coalesce(
+        within(F.slice(every, at + 2, F.lit(32))),
+        within(F.slice(every, at + 2, F.greatest(F.size(every) - at - 1, F.lit(0)))),
+    )
+
+
+def _interesting(files: DataFrame) -> DataFrame:
+    """Tokens that can matter, one row each, with their neighbours in the file.
+
+    Neighbours are read from the file's token array, so only these rows take
+    part in the windows that follow.
+    """
+    language, every = F.col("language"), F.col("tokens")
+    indent_scoped = language.isin(rules.INDENT_SCOPED)
+    shape = language.isin(rules.SHAPE_LANGUAGES)
+    script = language.isin(rules.SCRIPT_LANGUAGES)
+    shaped = shape | script | (language == "go")
+
+    def text_at(place: Column) -> Column:
+        return F.get(every, place)["text"]
+
+    # one set for all languages; what a language has no use for drops out below
+    words = sorted(
+        {"(", "{", "}", *rules.DECISION_WORDS, *rules.SIGNATURE_QUALIFIERS, "const", "let", "var"}
+        | {w for table in (rules.TYPE_KEYWORDS, rules.FUNCTION_KEYWORDS) for ws in table.values() for w in ws}
+    )
+
+    def matters(at: Column) -> Column:
+        token = F.get(every, at)
+        text = token["text"]
+        return F.coalesce(
+            text.isin(words)
+            | F.when(shaped, text == ")")
+            .when(indent_scoped, text.isin(")", "[", "]") | token["first_on_line"])
+            .otherwise(F.lit(False))
+            | (text.isin("&", "|") & ((text == text_at(at + 1)) | (text == text_at(at - 1))))
+            | (script & text_at(at + 1).isin("=", ":") & text_at(at + 2).isin("function", "async"))
+            | (at == F.size(every) - 1),
+            F.lit(False),
+        )
+
+    def described(at: Column) -> Column:
+        token = F.get(every, at)
+        return F.struct(
+            (at + 1).cast("bigint").alias("rn"),
+            token["text"].alias("text"),
+            token["line"].alias("line"),
+            token["indent"].alias("indent"),
+            token["first_on_line"].alias("first_on_line"),
+            *[text_at(at - k).alias(f"p{k}") for k in (1, 2, 3)],
+            *[F.get(every, at - k)["line"].alias(f"line{k}") for k in (1, 2, 3)],
+            *[text_at(at + k).alias(f"n{k}") for k in (1, 2, 3, 4, 5)],
+            F.when((language == "rust") & (token["text"] == "impl"), _implemented(at)).alias("implemented"),
+        )
+
+    places = F.filter(F.when(F.size(every) > 0, F.sequence(F.lit(0), F.size(every) - 1)), matters)
+    return (
+        token_arrays(files)
+        .select(*FILE_KEY, "language", F.explode(F.transform(places, described)).alias("t"))
+        .select(*FILE_KEY, "language", "t.*")
+    )
+
+
+def _with_depths(kept: DataFrame) -> DataFrame:
+    """Running depths of braces, parentheses and, by indentation, all brackets."""
+    order = Window.partitionBy(*FILE_KEY).orderBy("rn")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     text, language = F.col("text"), F.col("language")
+    shape = language.isin(rules.SHAPE_LANGUAGES)
 
-    def delta(opening: list[str], closing: list[str]) -> Column:
+    def step(opening: list[str], closing: list[str]) -> Column:
         return F.when(text.isin(opening), 1).when(text.isin(closing), -1).otherwise(0)
 
-    brackets = delta(["(", "[", "{"], [")", "]", "}"])
-    columns = parts.select(
-        *FILE_KEY,
-        "language",
-        "line",
-        "pos",
-        "indent",
-        "first_on_line",
-        "text",
-        F.row_number().over(order).cast("bigint").alias("rn"),
-        *[F.lag("text", k).over(order).alias(f"p{k}") for k in (1, 2, 3)],
-        *[F.lag("line", k).over(order).alias(f"line{k}") for k in (1, 2, 3)],
-        *[F.lead("text", k).over(order).alias(f"n{k}") for k in (1, 2, 3, 4, 5)],
-        F.sum(delta(["{"], ["}"])).over(so_far).cast("int").alias("braces"),
-        F.sum(delta(["("], [")"])).over(so_far).cast("int").alias("parens"),
+    brackets = step(["(", "[", "{"], [")", "]", "}"])
+    noise = F.when(shape & text.isin(rules.SIGNATURE_QUALIFIERS), 1).otherwise(0)
+    summed = kept.select(
+        "*",
+        F.sum(step(["{"], ["}"])).over(so_far).cast("int").alias("braces"),
+        F.sum(step(["("], [")"])).over(so_far).cast("int").alias("parens"),
         brackets.alias("bracket_step"),
         F.sum(brackets).over(so_far).alias("bracket_sum"),
+        F.sum(noise).over(so_far).alias("noise"),
     )
-    noise = text.isin(rules.SIGNATURE_QUALIFIERS)
-    impl_breaker = ~(is_word(text) | text.isin("<", ">", ","))
-    rust = language == "rust"
-    shape = language.isin(rules.SHAPE_LANGUAGES)
-    return columns.select(
+    indent_scoped = language.isin(rules.INDENT_SCOPED)
+    closing = F.when(shape & (text == ")"), F.struct("rn", "noise"))
+    return summed.select(
         "*",
-        # depth of (), [] and {} before this token; never below zero
+        # depth of (), [] and {} before this token; it never falls below zero
         (
             F.col("bracket_sum")
             - F.col("bracket_step")
             - F.least(F.lit(0), F.coalesce(F.min("bracket_sum").over(before), F.lit(0)))
         ).alias("bracket_depth"),
         # start of the run of equal & or | this token stands in
-        F.last(
-            F.when(~text.eqNullSafe(F.col("p1")), F.col("rn")), ignorenulls=True
-        ).over(so_far).alias("run_start"),
-        # closing parenthesis that only qualifiers separate from this token
-        F.when(
-            shape,
-            F.last(F.when(~noise, F.struct("text", "rn")), ignorenulls=True).over(before),
-        ).alias("before_noise"),
-        F.when(
-            rust,
-            F.last(F.when(is_word(text), F.struct("text", "rn")), ignorenulls=True).over(before),
-        ).alias("last_word"),
-        F.when(
-            rust,
-            F.coalesce(
-                F.max(F.when((text == "impl") & is_word(F.col("n1")), F.col("rn"))).over(before), F.lit(0)
-            )
-            > F.coalesce(F.max(F.when(impl_breaker, F.col("rn"))).over(before), F.lit(0)),
-        ).alias("in_impl"),
+        F.last(F.when(~text.eqNullSafe(F.col("p1")), F.col("rn")), ignorenulls=True).over(so_far).alias("run_start"),
+        F.last(closing, ignorenulls=True).over(before).alias("last_close"),
+    ).withColumn(
+        "line_start", indent_scoped & F.col("first_on_line") & (F.col("bracket_depth") == 0)
     )
 
 
-def _with_parentheses(columns: DataFrame) -> DataFrame:
-    """Keep tokens that matter and give each ``(`` what follows its ``)``."""
-    text, language, n1 = F.col("text"), F.col("language"), F.col("n1")
-    indent_scoped = language.isin(rules.INDENT_SCOPED)
-    shaped = language.isin(rules.SHAPE_LANGUAGES + rules.SCRIPT_LANGUAGES + ["go"])
-    impl_breaker = ~(is_word(text) | text.isin("<", ">", ","))
-    body = language.isin(rules.SHAPE_LANGUAGES) & (text == "{") & (F.col("before_noise.text") == ")")
-    impl_end = (language == "rust") & F.col("in_impl") & impl_breaker
-    impl = (language == "rust") & (text == "impl")
-    line_start = indent_scoped & F.col("first_on_line") & (F.col("bracket_depth") == 0)
+def _with_parentheses(deep: DataFrame) -> DataFrame:
+    """Give each ``(`` what follows its ``)`` in languages that need it."""
+    text, language, rn = F.col("text"), F.col("language"), F.col("rn")
+    shape = language.isin(rules.SHAPE_LANGUAGES)
+    shaped = shape | language.isin(rules.SCRIPT_LANGUAGES + ["go"])
+    # only qualifiers stand between the last ) and this {
+    body = shape & (text == "{") & (
+        F.col("noise") - F.col("last_close.noise") == rn - F.col("last_close.rn") - 1
+    )
+    pair = text.isin("&", "|") & (text == F.col("n1")) & ((rn - F.col("run_start")) % 2 == 0)
     keyword = _word_in(rules.TYPE_KEYWORDS, language, text) | _word_in(rules.FUNCTION_KEYWORDS, language, text)
-    script_form = language.isin(rules.SCRIPT_LANGUAGES) & is_word(text) & (
-        (text.isin("const", "let", "var") & is_word(n1) & (F.col("n2") == "="))
-        | (n1.isin("=", ":") & F.col("n2").isin("function", "async"))
+    binding = language.isin(rules.SCRIPT_LANGUAGES) & (
+        text.isin("const", "let", "var") | F.col("n1").isin("=", ":")
     )
-    pair = text.isin("&", "|") & (text == n1) & ((F.col("rn") - F.col("run_start")) % 2 == 0)
-    kept = columns.select(
+    needed = deep.select(
         "*",
-        line_start.alias("line_start"),
-        F.coalesce(pair, F.lit(False)).alias("pair"),
         F.coalesce(body, F.lit(False)).alias("body"),
-        F.coalesce(impl_end, F.lit(False)).alias("impl_end"),
-        n1.isNull().alias("last_token"),
+        F.coalesce(pair, F.lit(False)).alias("pair"),
+        F.col("n1").isNull().alias("last_token"),
     ).filter(
-        (text == "(")
+        text.isin("(", "{", "}")
         | (shaped & (text == ")"))
-        | text.isin("{", "}")
         | F.col("line_start")
         | F.col("pair")
-        | F.col("impl_end")
         | F.col("last_token")
         | text.isin(rules.DECISION_WORDS)
         | keyword
-        | F.coalesce(script_form, F.lit(False))
+        | F.coalesce(binding, F.lit(False))
     )
-    level = (
-        F.when(shaped & (text == "("), F.col("parens") - 1)
-        .when(shaped & (text == ")"), F.col("parens"))
-        .when(F.col("body"), F.col("parens"))
-        .when(impl | F.col("impl_end"), 0)
+    level = F.when(shaped & (text == "("), F.col("parens") - 1).when(
+        (shaped & (text == ")")) | F.col("body"), F.col("parens")
     )
-    kept = kept.withColumn("paren_level", level)
+    levelled = needed.withColumn("paren_level", level)
     following = (
         Window.partitionBy(*FILE_KEY, "paren_level")
-        .orderBy(F.col("rn").desc())
+        .orderBy(rn.desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     close = F.last(
-        F.when(text == ")", F.struct("rn", F.col("n1").alias("a1"), F.col("n2").alias("a2"))),
-        ignorenulls=True,
+        F.when(text == ")", F.struct("rn", F.col("n1").alias("a1"), F.col("n2").alias("a2"))), ignorenulls=True
     ).over(following)
     opened_body = F.last(
-        F.when(F.col("body"), F.struct(F.col("before_noise.rn").alias("close_rn"), "rn")),
-        ignorenulls=True,
+        F.when(F.col("body"), F.struct(F.col("last_close.rn").alias("close_rn"), "rn")), ignorenulls=True
     ).over(following)
-    implemented = F.last(F.when(F.col("impl_end"), F.col("last_word")), ignorenulls=True).over(following)
-    return kept.select(
-        "*",
-        F.when(shaped & (text == "("), close).alias("close"),
-        F.when(shaped & (text == "("), opened_body).alias("body_after"),
-        F.when(impl, implemented).alias("implemented"),
+    opening = shaped & (text == "(")
+    return levelled.select(
+        "*", F.when(opening, close).alias("close"), F.when(opening, opened_body).alias("body_after")
     )
 
 
@@ -401,7 +455,7 @@ def file_facts(files: DataFrame) -> DataFrame:
     """
     code = files.filter(~F.col("language").isin(rules.STYLE_OR_MARKUP))
     scoped = _with_owners(
-        _with_ends(_without_consumed(_events(_with_parentheses(_neighbours(tokens(code))))))
+        _with_ends(_without_consumed(_events(_with_parentheses(_with_depths(_interesting(code))))))
     )
     role, kind = F.col("role"), F.col("kind")
     owner, container = F.col("owner"), F.col("container")
