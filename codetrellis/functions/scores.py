@@ -125,20 +125,43 @@ def in_core_directory(path: Column) -> Column:
     return paths.starts_with_any(low, rules.CORE_DIRECTORIES) | ~low.contains("/")
 
 
+def _shortened(n: Column, unit: int, decimals: int) -> Column:
+    """``n / unit`` with ``decimals`` (0 or 1) digits, rounded as the binary quotient is.
+
+    Halfway cases go by the side of the half the double lies on, and to the even
+    digit when it is the half itself.
+    """
+    step = unit // 10**decimals
+    digits, rest = F.floor(n / step), n % step
+    quotient = n.cast("double") / float(unit)
+
+    def side(bits: int) -> Column:
+        # scaling by a power of two is exact, so both products are
+        scaled = (quotient * float(2**bits)).cast("bigint").cast("decimal(38,0)")
+        return F.sign(scaled * unit - n.cast("decimal(20,0)") * F.lit(2**bits).cast("decimal(17,0)"))
+
+    lean = F.when(quotient < 1024, side(52)).otherwise(side(42))
+    up = (rest * 2 > step) | ((rest * 2 == step) & ((lean > 0) | ((lean == 0) & (digits % 2 == 1))))
+    rounded = digits + up.cast("int")
+    if decimals == 0:
+        return rounded.cast("string")
+    return F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+
+
 def compact_count(n: Column) -> Column:
     """``1.2k``, ``12k``, ``1.2M``."""
-    d = n.cast("double")
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", d / 1e6))
-        .when(n >= 10_000, F.format_string("%.0fk", d / 1e3))
-        .when(n >= 1_000, F.format_string("%.1fk", d / 1e3))
+        F.when(n >= 1_000_000, F.concat(_shortened(n, 1_000_000, 1), F.lit("M")))
+        .when(n >= 10_000, F.concat(_shortened(n, 1_000, 0), F.lit("k")))
+        .when(n >= 1_000, F.concat(_shortened(n, 1_000, 1), F.lit("k")))
         .otherwise(n.cast("string"))
     )
 
 
 def compact_seconds(seconds: Column) -> Column:
-    return F.when(seconds < 1, F.format_string("%.0f ms", seconds * 1000)).otherwise(
-        F.format_string("%.2f s", seconds)
+    """Milliseconds below a second, seconds with two digits from there; halves to even."""
+    return F.when(seconds < 1, F.format_string("%.0f ms", F.bround(seconds * 1000, 0))).otherwise(
+        F.format_string("%.2f s", F.bround(seconds, 2))
     )
 
 

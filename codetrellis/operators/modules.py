@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codetrellis.functions import paths, scores
 from codetrellis.operators.graph import with_degrees
-from codetrellis.session import REPO_KEYS, distributed_rank, top_k
+from codetrellis.session import REPO_KEYS, cut, distributed_rank, top_k
 
 FILE = REPO_KEYS + ["path"]
 
@@ -113,6 +113,8 @@ def collapse(
         "weight",
         "top_symbols",
     )
+    # both tables are small once capped and are read several times below
+    modules = cut(modules)
     stated = file_refs.select(*REPO_KEYS, "src_path", "dst_path", F.lit(3).cast("bigint").alias("weight"))
     called = located.filter("src_path <> dst_path").select(
         *REPO_KEYS, "src_path", "dst_path", F.col("n").alias("weight")
@@ -130,7 +132,7 @@ def collapse(
     if max_edges is not None:
         order = [F.col("weight").desc(), F.col("src_path"), F.col("dst_path")]
         file_edges = top_k(file_edges, REPO_KEYS, order, max_edges).drop("rank")
-    file_edges = file_edges.select(*REPO_KEYS, "src_path", "dst_path", "weight")
+    file_edges = cut(file_edges.select(*REPO_KEYS, "src_path", "dst_path", "weight"))
     with_fans = with_degrees(
         modules, file_edges.withColumnsRenamed({"src_path": "src", "dst_path": "dst"}), REPO_KEYS, "path"
     )

@@ -45,12 +45,11 @@ def search(symbols: DataFrame, needles: DataFrame, limit: int = 40, keys: list[s
     names = symbols.select(*keys, F.lower("name").alias("low_name"), F.lower("container").alias("low_container")).distinct()
 
     def runs(text):
+        def of_length(k):
+            return F.transform(places, lambda at: F.substr(text, at, F.lit(k)))
+
         places = F.sequence(F.lit(1), F.length(text))
-        pieces = F.flatten(
-            F.array(
-                *[F.transform(places, lambda at, k=k: F.substr(text, at, F.lit(k))) for k in range(1, longest + 1)]
-            )
-        )
+        pieces = F.flatten(F.array(*[of_length(k) for k in range(1, longest + 1)]))
         return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
     words = F.concat(runs(F.col("low_name")), F.coalesce(runs(F.col("low_container")), F.array().cast("array<string>")))

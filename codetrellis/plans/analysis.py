@@ -71,7 +71,7 @@ class Analysis:
 
     @cached_property
     def file_refs(self) -> DataFrame:
-        return resolve_references(references(self.files, self.options.strip_import_comma), self.files)
+        return cut(resolve_references(references(self.files, self.options.strip_import_comma), self.files))
 
     @cached_property
     def file_graph(self) -> modules.FileGraph:
@@ -79,7 +79,7 @@ class Analysis:
         built = modules.collapse(
             self.symbols, self.edges, self.file_refs, o.max_nodes, o.max_edges, o.tests_in_diagram
         )
-        return modules.FileGraph(cut(built.modules), cut(built.edges))
+        return modules.FileGraph(cut(built.modules), built.edges)
 
     @property
     def modules(self) -> DataFrame:

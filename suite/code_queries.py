@@ -318,6 +318,20 @@ def code_modules(spark, sf_dir):
     )
 
 
+@query(
+    "code_module_edges_uncapped",
+    corpus.sql(
+        "SELECT repo, src_path, dst_path, weight FROM all_file_edges "
+        "WHERE src_path IN (SELECT path FROM sym) AND dst_path IN (SELECT path FROM sym)",
+        _MODULES,
+    ),
+)
+def code_module_edges_uncapped(spark, sf_dir):
+    """A6, J11 with both caps lifted."""
+    a = corpus.analysis(spark, sf_dir)
+    return modules.collapse(a.symbols, a.edges, a.file_refs, None, None).edges.drop("snap")
+
+
 @query("code_module_edges", corpus.sql("SELECT repo, src_path, dst_path, weight FROM module_edge", _MODULES))
 def code_module_edges(spark, sf_dir):
     """A6, J11, R3."""
