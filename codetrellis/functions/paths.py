@@ -17,8 +17,10 @@ def clean(path: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    tidy = clean(path)
-    return F.when(tidy == "/", F.lit("/")).otherwise(F.substring_index(tidy, "/", -1))
+    plain = normalize(path)
+    return F.when(plain.rlike("^/+$"), F.lit("/")).otherwise(
+        F.substring_index(F.rtrim(plain, F.lit("/")), "/", -1)
+    )
 
 
 def dirname(path: Column) -> Column:
@@ -31,7 +33,7 @@ def dirname(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """Text after the last dot; a leading or trailing dot is no extension."""
-    return F.regexp_extract(basename(path), "^.+\\.([^.]+)$", 1)
+    return F.regexp_extract(normalize(path), "[^/]\\.([^./]++)/*+$", 1)
 
 
 def stem(path: Column) -> Column:

@@ -21,7 +21,10 @@ _RESERVED, _REPLACEMENT = COMMENT + TRIVIA_END + STRING, "\u0004\u0004\u0004"
 NESTING = 24
 
 LETTER = "A-Za-z_\\x{80}-\\x{10FFFF}"
-TOKEN = f"[{LETTER}][{LETTER}0-9]*+|[0-9][{LETTER}0-9.]*+|[^ \\t\\r]"
+_WORD_OR_NUMBER = f"[{LETTER}][{LETTER}0-9]*+|[0-9][{LETTER}0-9.]*+"
+TOKEN = f"{_WORD_OR_NUMBER}|[^ \\t\\r]"
+# the same without the marks that stand for comments and strings
+CODE_TOKEN = f"{_WORD_OR_NUMBER}|[^ \\t\\r{COMMENT}{TRIVIA_END}{STRING}]"
 
 
 def _quoted(quote: str) -> str:
@@ -120,43 +123,53 @@ def is_word(text: Column) -> Column:
     return c.between(97, 122) | c.between(65, 90) | (c == 95) | (c >= 128)
 
 
-def _token_lines(content: Column, language: Column) -> Column:
-    """Array of (line, indent, words) of a file; a tab indents by four."""
+def _token_lines(content: Column, language: Column, pattern: str) -> Column:
+    """Array of (line, indent, starts, words) of a file; a tab indents by four.
+
+    ``starts`` says that the line begins with code, not with a comment or string.
+    """
 
     def one(body: Column, at: Column) -> Column:
         width = F.length(body) - F.length(F.ltrim(body, F.lit(" \t\r")))
         lead = F.left(body, width)
         tabs = width - F.length(F.replace(lead, F.lit("\t"), F.lit("")))
-        after_trivia = F.substr(body, width + 1, F.lit(1)) == TRIVIA_END
+        first = F.substr(body, width + 1, F.lit(1))
+        # only languages that scope by indentation look at these two
+        measured = language.isin(rules.INDENT_SCOPED)
         return F.struct(
             (at + 1).alias("line"),
-            F.when(after_trivia, 0).otherwise(width + 3 * tabs).cast("int").alias("indent"),
-            F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0)).alias("words"),
+            F.when(measured & (first != TRIVIA_END), width + 3 * tabs).otherwise(0).cast("int").alias("indent"),
+            F.when(measured, ~first.isin(COMMENT, STRING, TRIVIA_END)).otherwise(F.lit(False)).alias("starts"),
+            F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("words"),
         )
 
     return F.transform(F.split(blank_trivia(content, language), "\n"), one)
 
 
 def token_arrays(files: DataFrame) -> DataFrame:
-    """One row per file with the array of its tokens, comments and strings left out."""
-
-    def words(x: Column) -> Column:
-        return F.transform(
-            x["words"],
-            lambda text, at: F.struct(
-                x["line"].alias("line"), x["indent"].alias("indent"), (at == 0).alias("first_on_line"), text.alias("text")
-            ),
-        )
+    """One row per file: its token texts and, in step with them, lines, indents and line starts.
 
+    Comments and strings are left out. Indents and line starts are filled for
+    languages that scope by indentation and null elsewhere.
+    """
     lines = by_file(files).select(
-        *FILE_KEY, "language", _token_lines(F.col("content"), F.col("language")).alias("lines")
+        *FILE_KEY, "language", _token_lines(F.col("content"), F.col("language"), CODE_TOKEN).alias("lines")
+    )
+
+    def spread(field: str) -> Column:
+        return F.flatten(F.transform("lines", lambda x: F.array_repeat(x[field], F.size(x["words"]))))
+
+    indent_scoped = F.col("language").isin(rules.INDENT_SCOPED)
+    begins = F.flatten(
+        F.transform("lines", lambda x: F.transform(x["words"], lambda _t, at: (at == 0) & x["starts"]))
     )
     return lines.select(
         *FILE_KEY,
         "language",
-        F.filter(
-            F.flatten(F.transform("lines", words)), lambda t: ~t["text"].isin(COMMENT, STRING, TRIVIA_END)
-        ).alias("tokens"),
+        F.flatten(F.transform("lines", lambda x: x["words"])).alias("texts"),
+        spread("line").alias("line_nos"),
+        F.when(indent_scoped, spread("indent")).alias("indents"),
+        F.when(indent_scoped, begins).alias("begins"),
     )
 
 
@@ -167,7 +180,7 @@ def tokens(files: DataFrame, trivia: bool = False) -> DataFrame:
     first_on_line. With ``trivia`` comments and strings are rows too.
     """
     lines = by_file(files).select(
-        *FILE_KEY, "language", F.explode(_token_lines(F.col("content"), F.col("language"))).alias("l")
+        *FILE_KEY, "language", F.explode(_token_lines(F.col("content"), F.col("language"), TOKEN)).alias("l")
     )
     parts = lines.select(
         *FILE_KEY, "language", "l.line", "l.indent", F.posexplode("l.words").alias("pos", "text")

@@ -44,85 +44,151 @@ def _implemented(at: Column) -> Column:
 
     def within(stretch: Column) -> Column:
         ends = F.filter(
-            F.transform(
-                stretch,
-                lambda t, k: F.when(is_word(t["text"]) | t["text"].isin("<", ">", ","), None).otherwise(k),
-            ),
+            F.transform(stretch, lambda t, k: F.when(is_word(t) | t.isin("<", ">", ","), None).otherwise(k)),
             lambda k: k.isNotNull(),
         )
         header = F.slice(stretch, F.lit(1), F.get(ends, F.lit(0)))
         names = F.filter(
             F.transform(
                 header,
-                lambda t, k: F.when(
-                    is_word(t["text"]), F.struct((at + 2 + k).cast("bigint").alias("rn"), t["text"].alias("text"))
-                ),
+                lambda t, k: F.when(is_word(t), F.struct((at + 2 + k).cast("bigint").alias("rn"), t.alias("text"))),
             ),
             lambda n: n.isNotNull(),
         )
         return F.when(F.size(ends) > 0, F.try_element_at(names, F.lit(-1)))
 
-    every = F.col("tokens")
+    every = F.col("texts")
     return F.coalesce(
         within(F.slice(every, at + 2, F.lit(32))),
         within(F.slice(every, at + 2, F.greatest(F.size(every) - at - 1, F.lit(0)))),
     )
 
 
-def _interesting(files: DataFrame) -> DataFrame:
-    """Tokens that can matter, one row each, with their neighbours in the file.
+def _declared_by_word() -> Column:
+    """Declaration introduced by a word, as (name, back, resume, kind); null when there is none.
 
-    Neighbours are read from the file's token array, so only these rows take
-    part in the windows that follow.
+    ``back`` is how many tokens before this one the declaration begins.
     """
-    language, every = F.col("language"), F.col("tokens")
-    indent_scoped = language.isin(rules.INDENT_SCOPED)
-    shape = language.isin(rules.SHAPE_LANGUAGES)
-    script = language.isin(rules.SCRIPT_LANGUAGES)
-    shaped = shape | script | (language == "go")
+    names = ("text", "language", "rn", "p1", "p2", "p3", "n1", "n2", "n3", "n4", "n5", "implemented")
+    text, language, rn, p1, p2, p3, n1, n2, n3, n4, n5, impl = (F.col(k) for k in names)
+
+    def found(cond: Column, name: Column, resume: Column, kind: str, back: int = 0) -> Column:
+        return F.when(
+            cond,
+            F.struct(
+                name.alias("name"), F.lit(back).alias("back"), resume.cast("bigint").alias("resume"), F.lit(kind).alias("kind")
+            ),
+        )
 
-    def text_at(place: Column) -> Column:
-        return F.get(every, place)["text"]
+    def function_word(word: Column) -> Column:
+        return _word_in(rules.FUNCTION_KEYWORDS, language, word)
 
-    # one set for all languages; what a language has no use for drops out below
-    words = sorted(
-        {"(", "{", "}", *rules.DECISION_WORDS, *rules.SIGNATURE_QUALIFIERS, "const", "let", "var"}
-        | {w for table in (rules.TYPE_KEYWORDS, rules.FUNCTION_KEYWORDS) for ws in table.values() for w in ws}
+    is_type = _word_in(rules.TYPE_KEYWORDS, language, text) & is_word(n1)
+    script = language.isin(rules.SCRIPT_LANGUAGES)
+    binder = ["const", "let", "var"]
+    binding = script & text.isin(binder) & is_word(n1) & (n2 == "=")
+    # name = function, name: async; after const, let or var the binding has it already
+    assigned = (
+        script & text.isin("function", "async") & p1.isin("=", ":") & is_word(p2) & ~function_word(p2)
+        & ~((p1 == "=") & p3.isin(binder))
     )
+    return F.coalesce(
+        found(is_type, F.coalesce(impl["text"], n1), F.coalesce(impl["rn"] + 1, rn + 2), "type"),
+        found(binding & n3.isin("function", "async"), n1, rn + 4, "function"),
+        found(binding & (n3 != "(") & (n4 == "=") & (n5 == ">"), n1, rn + 6, "function"),
+        found(assigned, p2, rn + 1, "function", 2),
+        found((language == "swift") & function_word(text) & (text != "func"), text, rn + 1, "initializer"),
+        found(function_word(text) & is_word(n1), n1, rn + 2, "function"),
+    )
+
+
+def _words_of_interest(language: str) -> list[str]:
+    """Tokens of a language that can open, close, branch or declare something."""
+    words = {"(", "{", "}", "&", "|", *rules.DECISION_WORDS}
+    words |= set(rules.TYPE_KEYWORDS.get(language, [])) | set(rules.FUNCTION_KEYWORDS.get(language, []))
+    if language in rules.SHAPE_LANGUAGES:
+        words |= {")", *rules.SIGNATURE_QUALIFIERS}
+    if language in rules.SCRIPT_LANGUAGES:
+        words |= {")", "const", "let", "var", "async"}
+    if language == "go":
+        words |= {")"}
+    if language in rules.INDENT_SCOPED:
+        words |= {")", "[", "]"}
+    return sorted(words)
 
-    def matters(at: Column) -> Column:
-        token = F.get(every, at)
-        text = token["text"]
-        return F.coalesce(
-            text.isin(words)
-            | F.when(shaped, text == ")")
-            .when(indent_scoped, text.isin(")", "[", "]") | token["first_on_line"])
-            .otherwise(F.lit(False))
-            | (text.isin("&", "|") & ((text == text_at(at + 1)) | (text == text_at(at - 1))))
-            | (script & text_at(at + 1).isin("=", ":") & text_at(at + 2).isin("function", "async"))
-            | (at == F.size(every) - 1),
-            F.lit(False),
-        )
+
+def _interesting(files: DataFrame) -> DataFrame:
+    """Tokens that can matter, one row each, with their neighbours in the file.
+
+    Neighbours are cut from the file's token array, so only these rows take part
+    in the windows that follow. What needs many neighbours is decided here: wide
+    rows make every later sort dearer.
+    """
+    language, every = F.col("language"), F.col("texts")
+    last = F.size(every) - 1
+    before_last = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    # one test per token: membership in the set of its language
+    sets: dict[tuple, list[str]] = {}
+    for name in rules.LANGUAGE_EXTENSIONS:
+        if name not in rules.STYLE_OR_MARKUP:
+            sets.setdefault(tuple(_words_of_interest(name)), []).append(name)
+    chosen = None
+    for words, names in sets.items():
+        if set(names) & set(rules.INDENT_SCOPED):
+            kept = F.filter(before_last, lambda at: F.get(every, at).isin(list(words)) | F.get(F.col("begins"), at))
+        else:
+            kept = F.filter(before_last, lambda at: F.get(every, at).isin(list(words)))
+        cond = language.isin(names)
+        chosen = F.when(cond, kept) if chosen is None else chosen.when(cond, kept)
+    # the last token tells where a file ends
+    places = F.when(last >= 0, F.concat(chosen, F.array(last)))
 
     def described(at: Column) -> Column:
-        token = F.get(every, at)
         return F.struct(
             (at + 1).cast("bigint").alias("rn"),
-            token["text"].alias("text"),
-            token["line"].alias("line"),
-            token["indent"].alias("indent"),
-            token["first_on_line"].alias("first_on_line"),
-            *[text_at(at - k).alias(f"p{k}") for k in (1, 2, 3)],
-            *[F.get(every, at - k)["line"].alias(f"line{k}") for k in (1, 2, 3)],
-            *[text_at(at + k).alias(f"n{k}") for k in (1, 2, 3, 4, 5)],
-            F.when((language == "rust") & (token["text"] == "impl"), _implemented(at)).alias("implemented"),
+            F.slice(F.col("padded"), at + 1, F.lit(9)).alias("around"),
+            F.slice(F.col("padded_lines"), at + 1, F.lit(4)).alias("lines"),
+            F.get(F.col("indents"), at).alias("indent"),
+            F.get(F.col("begins"), at).alias("first_on_line"),
+            F.when((language == "rust") & (F.get(every, at) == "impl"), _implemented(at)).alias("implemented"),
         )
 
-    places = F.filter(F.when(F.size(every) > 0, F.sequence(F.lit(0), F.size(every) - 1)), matters)
-    return (
-        token_arrays(files)
-        .select(*FILE_KEY, "language", F.explode(F.transform(places, described)).alias("t"))
-        .select(*FILE_KEY, "language", "t.*")
+    none = F.lit(None).cast("string")
+    arrays = token_arrays(files).select(
+        "*",
+        F.concat(F.array(none, none, none), every).alias("padded"),
+        F.concat(F.array(*[F.lit(0)] * 3), F.col("line_nos")).alias("padded_lines"),
+    )
+    around = {"p3": 0, "p2": 1, "p1": 2, "text": 3, "n1": 4, "n2": 5, "n3": 6, "n4": 7, "n5": 8}
+    rows = arrays.select(*FILE_KEY, "language", F.explode(F.transform(places, described)).alias("t")).select(
+        *FILE_KEY,
+        "language",
+        "t.rn",
+        *[F.get("t.around", F.lit(k)).alias(name) for name, k in around.items()],
+        *[F.get("t.lines", F.lit(3 - k)).alias(f"line{k}" if k else "line") for k in (0, 1, 2, 3)],
+        F.coalesce("t.indent", F.lit(0)).alias("indent"),
+        F.coalesce("t.first_on_line", F.lit(False)).alias("first_on_line"),
+        "t.implemented",
+    )
+    text, n1, n2 = F.col("text"), F.col("n1"), F.col("n2")
+    closing = text == ")"
+    back = (text == "(") | text.isin("function", "async")
+    return rows.select(
+        *FILE_KEY,
+        "language",
+        "rn",
+        "text",
+        "line",
+        "indent",
+        "first_on_line",
+        *[F.when(back, F.col(c)).alias(c) for c in ("p1", "p2", "p3", "line1", "line2", "line3")],
+        (text.isin("&", "|") & ~text.eqNullSafe(F.col("p1"))).alias("run_begins"),
+        (text == n1).alias("repeats"),
+        n1.isNull().alias("last_token"),
+        _declared_by_word().alias("by_word"),
+        F.when(closing, (n1 == "=") & (n2 == ">")).alias("arrow"),
+        F.when(closing, n1 == "{").alias("block"),
+        F.when(closing & (language == "go") & is_word(n1), n1).alias("go_name"),
     )
 
 
@@ -158,7 +224,7 @@ def _with_depths(kept: DataFrame) -> DataFrame:
             - F.least(F.lit(0), F.coalesce(F.min("bracket_sum").over(before), F.lit(0)))
         ).alias("bracket_depth"),
         # start of the run of equal & or | this token stands in
-        F.last(F.when(~text.eqNullSafe(F.col("p1")), F.col("rn")), ignorenulls=True).over(so_far).alias("run_start"),
+        F.last(F.when(F.col("run_begins"), F.col("rn")), ignorenulls=True).over(so_far).alias("run_start"),
         F.last(closing, ignorenulls=True).over(before).alias("last_close"),
     ).withColumn(
         "line_start", indent_scoped & F.col("first_on_line") & (F.col("bracket_depth") == 0)
@@ -174,16 +240,11 @@ def _with_parentheses(deep: DataFrame) -> DataFrame:
     body = shape & (text == "{") & (
         F.col("noise") - F.col("last_close.noise") == rn - F.col("last_close.rn") - 1
     )
-    pair = text.isin("&", "|") & (text == F.col("n1")) & ((rn - F.col("run_start")) % 2 == 0)
-    keyword = _word_in(rules.TYPE_KEYWORDS, language, text) | _word_in(rules.FUNCTION_KEYWORDS, language, text)
-    binding = language.isin(rules.SCRIPT_LANGUAGES) & (
-        text.isin("const", "let", "var") | F.col("n1").isin("=", ":")
-    )
+    pair = text.isin("&", "|") & F.col("repeats") & ((rn - F.col("run_start")) % 2 == 0)
     needed = deep.select(
         "*",
         F.coalesce(body, F.lit(False)).alias("body"),
         F.coalesce(pair, F.lit(False)).alias("pair"),
-        F.col("n1").isNull().alias("last_token"),
     ).filter(
         text.isin("(", "{", "}")
         | (shaped & (text == ")"))
@@ -191,8 +252,7 @@ def _with_parentheses(deep: DataFrame) -> DataFrame:
         | F.col("pair")
         | F.col("last_token")
         | text.isin(rules.DECISION_WORDS)
-        | keyword
-        | F.coalesce(binding, F.lit(False))
+        | F.col("by_word").isNotNull()
     )
     level = F.when(shaped & (text == "("), F.col("parens") - 1).when(
         (shaped & (text == ")")) | F.col("body"), F.col("parens")
@@ -204,7 +264,7 @@ def _with_parentheses(deep: DataFrame) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     close = F.last(
-        F.when(text == ")", F.struct("rn", F.col("n1").alias("a1"), F.col("n2").alias("a2"))), ignorenulls=True
+        F.when(text == ")", F.struct("rn", "arrow", "block", "go_name")), ignorenulls=True
     ).over(following)
     opened_body = F.last(
         F.when(F.col("body"), F.struct(F.col("last_close.rn").alias("close_rn"), "rn")), ignorenulls=True
@@ -212,7 +272,7 @@ def _with_parentheses(deep: DataFrame) -> DataFrame:
     opening = shaped & (text == "(")
     return levelled.select(
         "*", F.when(opening, close).alias("close"), F.when(opening, opened_body).alias("body_after")
-    )
+    ).filter((text != ")") | F.col("line_start") | F.col("last_token"))
 
 
 _EVENT = (
@@ -243,7 +303,7 @@ def _events(kept: DataFrame) -> DataFrame:
     """One row per event. ``sub`` orders events at one token: close, inside, open."""
     c = {name: F.col(name) for name in kept.columns}
     text, language, rn = c["text"], c["language"], c["rn"]
-    p1, p2, p3, n1, n2, n3, n4, n5 = (c[k] for k in ("p1", "p2", "p3", "n1", "n2", "n3", "n4", "n5"))
+    p1, p2, p3 = c["p1"], c["p2"], c["p3"]
     script = language.isin(rules.SCRIPT_LANGUAGES)
     indent_scoped = language.isin(rules.INDENT_SCOPED)
 
@@ -259,41 +319,13 @@ def _events(kept: DataFrame) -> DataFrame:
             _event("open", at, 2, line, name, kind, resume, depth=c["braces"], indent=c["indent"]),
         )
 
-    # --- declarations introduced by a word ---
-    is_type = type_word(text) & is_word(n1)
-    impl_name = c["implemented"]
-    by_word = declared(
-        is_type,
-        rn,
-        c["line"],
-        F.coalesce(impl_name["text"], n1),
-        F.coalesce(impl_name["rn"] + 1, rn + 2),
-        "type",
-    )
-    self_named = (language == "swift") & function_word(text) & (text != "func")
-    by_word = F.coalesce(
-        by_word,
-        declared(self_named, rn, c["line"], text, rn + 1, "initializer"),
-        declared(function_word(text) & is_word(n1), rn, c["line"], n1, rn + 2, "function"),
-    )
-    free = script & is_word(text) & ~function_word(text) & ~is_type
-    binding = free & text.isin("const", "let", "var") & is_word(n1) & (n2 == "=")
-    by_word = F.coalesce(
-        by_word,
-        declared(binding & n3.isin("function", "async"), rn, c["line"], n1, rn + 4, "function"),
-        declared(
-            binding & (n3 != "(") & (n4 == "=") & (n5 == ">"), rn, c["line"], n1, rn + 6, "function"
-        ),
-        declared(
-            free & n1.isin("=", ":") & n2.isin("function", "async"), rn, c["line"], text, rn + 3, "function"
-        ),
-    )
+    word = c["by_word"]
+    word_line = F.when(word["back"] == 2, c["line2"]).otherwise(c["line"])
+    by_word = declared(word.isNotNull(), rn - word["back"], word_line, word["name"], word["resume"], word["kind"])
 
     # --- declarations known by what follows their parentheses ---
     close = c["close"]
-    a1, a2 = close["a1"], close["a2"]
-    paren = text == "("
-    arrow = (a1 == "=") & (a2 == ">")
+    paren, arrow = text == "(", close["arrow"]
     resume_arrow = close["rn"] + 3
     named_before = is_word(p1) & ~_is_control(language, p1) & ~function_word(p1)
     method_lead = p2.isNull() | p2.isin("{", ",", ";", "}") | p2.isin("async", "get", "set", "static")
@@ -308,7 +340,7 @@ def _events(kept: DataFrame) -> DataFrame:
             rn - 2, c["line2"], p2, resume_arrow, "function",
         ),
         declared(
-            paren & script & named_before & (a1 == "{") & method_lead,
+            paren & script & named_before & close["block"] & method_lead,
             rn - 1, c["line1"], p1, close["rn"] + 1, "function",
         ),
         declared(
@@ -317,8 +349,8 @@ def _events(kept: DataFrame) -> DataFrame:
             rn - 1, c["line1"], p1, c["body_after"]["rn"], "function",
         ),
         declared(
-            paren & (language == "go") & (p1 == "func") & is_word(a1),
-            rn - 1, c["line1"], a1, close["rn"] + 2, "function",
+            paren & (p1 == "func") & close["go_name"].isNotNull(),
+            rn - 1, c["line1"], close["go_name"], close["rn"] + 2, "function",
         ),
     )
     call = F.when(

@@ -244,7 +244,10 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_each = F.array(
         *[F.struct(F.lit(name).alias("name"), F.lit(body).alias("body")) for name, body in TEMPLATES.items()]
     )
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type", F.explode(one_each).alias("t"))
+    # the table is one small file; the text made from it is not
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_type").repartition(spread, "p_partkey")
+    parts = rows.select("*", F.explode(one_each).alias("t"))
     return parts.select(
         F.col("p_brand").alias("repo"),
         F.lit("a").alias("snap"),

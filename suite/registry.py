@@ -35,3 +35,8 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build):
     if key not in _built:
         _built[key] = build()
     return _built[key]
+
+
+def forget() -> None:
+    """Drop what was built, so that the next query starts from the tables."""
+    _built.clear()
