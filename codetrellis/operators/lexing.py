@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codetrellis.functions import rules
+from codetrellis.session import allow_wide_expressions
 from codetrellis.sources.corpus import FILE_KEY, with_file_key
 
 # control characters that stand where a comment or a string was
@@ -109,6 +110,7 @@ def by_file(files: DataFrame) -> DataFrame:
     partitions is the session's ``spark.sql.shuffle.partitions`` and is not
     coalesced; size it for some 16 MB of source text per partition.
     """
+    allow_wide_expressions(files.sparkSession)
     count = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return with_file_key(files).select(*FILE_KEY, "language", "content").repartition(count, *FILE_KEY)
 

@@ -28,6 +28,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+# the JVM compiles no method above this many bytes of bytecode
+_COMPILED_METHOD_BYTES = "8000"
+
+
+def allow_wide_expressions(spark: SparkSession) -> None:
+    """Let stages with very large expressions run outside whole-stage codegen.
+
+    Their one generated method would be too large for the JVM to compile and run
+    interpreted; split into many methods the same expressions are compiled.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > int(_COMPILED_METHOD_BYTES):
+        spark.conf.set(name, _COMPILED_METHOD_BYTES)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from what was written."""
     ensure_checkpoint_dir(df.sparkSession)
