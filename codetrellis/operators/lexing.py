@@ -154,8 +154,12 @@ def token_arrays(files: DataFrame) -> DataFrame:
     Comments and strings are left out. Indents and line starts are filled for
     languages that scope by indentation and null elsewhere.
     """
+    # stylesheets and markup have extractors of their own that read the same exchange
+    is_code = ~F.col("language").isin(rules.STYLE_OR_MARKUP)
     lines = by_file(files).select(
-        *FILE_KEY, "language", _token_lines(F.col("content"), F.col("language"), CODE_TOKEN).alias("lines")
+        *FILE_KEY,
+        "language",
+        F.when(is_code, _token_lines(F.col("content"), F.col("language"), CODE_TOKEN)).alias("lines"),
     )
 
     def spread(field: str) -> Column:

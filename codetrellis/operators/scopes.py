@@ -485,9 +485,8 @@ def file_facts(files: DataFrame) -> DataFrame:
     max_nesting and ``calls``, the call sites directly inside. The array holds
     calls of one declaration in one file, which the file-size limit bounds.
     """
-    code = files.filter(~F.col("language").isin(rules.STYLE_OR_MARKUP))
     scoped = _with_owners(
-        _with_ends(_without_consumed(_events(_with_parentheses(_with_depths(_interesting(code))))))
+        _with_ends(_without_consumed(_events(_with_parentheses(_with_depths(_interesting(files))))))
     )
     role, kind = F.col("role"), F.col("kind")
     owner, container = F.col("owner"), F.col("container")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codetrellis.sources.corpus import FILE_KEY, with_file_key
+from codetrellis.operators.lexing import by_file
+from codetrellis.sources.corpus import FILE_KEY
 
 _BLOCK = "/\\*(?:[^*]++|\\*(?!/))*+(?:\\*/)?+"
 # text up to the next delimiter, or what is left at the end
@@ -38,19 +39,12 @@ def _comments_to_breaks(content: Column, language: Column) -> Column:
 
 def stylesheet_facts(files: DataFrame) -> DataFrame:
     """Rules as declarations, ``@include``/``@extend`` as calls, in the shape of ``file_facts``."""
-    sheets = with_file_key(files.filter(F.col("language").isin("css", "scss")))
-    segments = (
-        sheets.select(*FILE_KEY, "language", "content")
-        .repartition(*FILE_KEY)
-        .select(
-            *FILE_KEY,
-            F.posexplode(
-                F.regexp_extract_all(
-                    _comments_to_breaks(F.col("content"), F.col("language")), F.lit(_SEGMENT), F.lit(0)
-                )
-            ).alias("at", "segment"),
-        )
+    # no filter: all extractors read one and the same exchange of files
+    is_sheet = F.col("language").isin("css", "scss")
+    pieces = F.regexp_extract_all(
+        _comments_to_breaks(F.col("content"), F.col("language")), F.lit(_SEGMENT), F.lit(0)
     )
+    segments = by_file(files).select(*FILE_KEY, F.posexplode(F.when(is_sheet, pieces)).alias("at", "segment"))
     order = Window.partitionBy(*FILE_KEY).orderBy("at")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -144,18 +138,15 @@ _ID = "(?:(?<=[ \\t])|\\A)id=(?:\"([^\"]*+)(?:\"|\\z)|'([^']*+)(?:'|\\z))"
 
 def markup_facts(files: DataFrame) -> DataFrame:
     """Element ids as ``#id`` declarations, the first of each name per file."""
-    pages = with_file_key(files.filter(F.col("language") == "html"))
     gap = "([\\s\\S]*?)" + _ID
-    found = pages.select(
-        *FILE_KEY,
-        F.posexplode(
-            F.arrays_zip(
-                F.regexp_extract_all("content", F.lit(gap), F.lit(0)).alias("whole"),
-                F.regexp_extract_all("content", F.lit(gap), F.lit(1)).alias("gap"),
-                F.regexp_extract_all("content", F.lit(gap), F.lit(2)).alias("double"),
-                F.regexp_extract_all("content", F.lit(gap), F.lit(3)).alias("single"),
-            )
-        ).alias("at", "m"),
+    matches = F.arrays_zip(
+        F.regexp_extract_all("content", F.lit(gap), F.lit(0)).alias("whole"),
+        F.regexp_extract_all("content", F.lit(gap), F.lit(1)).alias("gap"),
+        F.regexp_extract_all("content", F.lit(gap), F.lit(2)).alias("double"),
+        F.regexp_extract_all("content", F.lit(gap), F.lit(3)).alias("single"),
+    )
+    found = by_file(files).select(
+        *FILE_KEY, F.posexplode(F.when(F.col("language") == "html", matches)).alias("at", "m")
     )
     before = Window.partitionBy(*FILE_KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     lined = found.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetrellis.functions import paths, rules
-from codetrellis.session import REPO_KEYS, distributed_rank, top_k
+from codetrellis.session import REPO_KEYS, cut, distributed_rank, top_k
 
 FILE_KEY = ["f1", "f2"]
 
@@ -141,4 +141,6 @@ def with_file_key(files: DataFrame) -> DataFrame:
 
 def number_files(files: DataFrame) -> DataFrame:
     """``file_no``: position of a file in path order inside its repository snapshot."""
-    return distributed_rank(files.select(*REPO_KEYS, "path", "language"), REPO_KEYS, ["path"], "file_no")
+    # written first: ranking by range reads its input twice, and the scan is dear
+    listed = cut(files.select(*REPO_KEYS, "path", "language"))
+    return distributed_rank(listed, REPO_KEYS, ["path"], "file_no")
