@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codetrellis.functions import rules, scores
-from codetrellis.operators import findings, graph, modules, ranking
+from codetrellis.operators import explain, findings, graph, modules, ranking
 from codetrellis.operators.declarations import declarations
 from codetrellis.operators.quality import cover_holds
 from codetrellis.operators.references import references
@@ -413,3 +413,52 @@ def code_cover(spark, sf_dir):
     return held.groupBy("repo", "language").agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("ok")).alias("covered")
     )
+
+
+@query(
+    "code_who_calls",
+    corpus.sql(
+        "SELECT n.repo, n.path, n.name, n.line, CASE WHEN fan_in = 0 THEN 'No caller in this project.' ELSE c.names || "
+        "CASE WHEN fan_in > 6 THEN chr(10) || 'and ' || (fan_in - 6) || ' more' ELSE '' END END AS answer "
+        "FROM node n LEFT JOIN callers c ON n.repo = c.repo AND n.path = c.dst_path AND n.name = c.dst_name AND n.kind <> 'type'",
+        """
+callers AS (
+  SELECT repo, dst_path, dst_name, string_agg(display || ' — ' || path || ':' || line, chr(10) ORDER BY rank_id) AS names FROM (
+    SELECT e.repo, e.dst_path, e.dst_name, n.display, n.path, n.line, n.rank_id,
+           row_number() OVER (PARTITION BY e.repo, e.dst_path, e.dst_name ORDER BY n.rank_id) AS k
+    FROM edge e JOIN node n ON n.repo = e.repo AND n.path = e.src_path AND n.name = e.src_name AND n.kind <> 'type')
+  WHERE k <= 6 GROUP BY ALL
+)""",
+    ),
+)
+def code_who_calls(spark, sf_dir):
+    """P24, J10, R14."""
+    a = corpus.analysis(spark, sf_dir)
+    places = a.symbols.select("repo", "snap", "sym_id", "path", "name", "line")
+    return explain.who_calls(a.symbols, a.edges).join(places, ["repo", "snap", "sym_id"]).select(
+        "repo", "path", "name", "line", "answer"
+    )
+
+
+@query(
+    "code_summary",
+    corpus.sql(
+        "SELECT f.repo, f.files, f.lines, s.symbols, e.connections, h.hubs, l.languages FROM "
+        "(SELECT repo, count(*) files, sum(lines)::BIGINT AS lines FROM file_rows GROUP BY 1) f JOIN "
+        "(SELECT repo, count(*) symbols FROM sym GROUP BY 1) s USING (repo) JOIN "
+        "(SELECT repo, count(*) connections FROM edge GROUP BY 1) e USING (repo) JOIN "
+        "(SELECT repo, string_agg(display || '=' || fan_in, ',' ORDER BY fan_in DESC, rank_id) AS hubs FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY fan_in DESC, rank_id) k FROM node) WHERE k <= 3 GROUP BY 1) h USING (repo) JOIN "
+        "(SELECT repo, string_agg(language, ',' ORDER BY n DESC, language) AS languages FROM ("
+        "SELECT repo, language, count(*) n, row_number() OVER (PARTITION BY repo ORDER BY count(*) DESC, language) k FROM file_rows GROUP BY 1, 2) "
+        "WHERE k <= 3 GROUP BY 1) l USING (repo)"
+    ),
+)
+def code_summary(spark, sf_dir):
+    """K4: the one-row summary of each repository."""
+    hubs = F.array_join(
+        F.transform("top_hubs", lambda h: F.concat(h["name"], F.lit("="), h["callers"].cast("string"))), ","
+    )
+    return corpus.analysis(spark, sf_dir).summary().select(
+        "repo", "files", "lines", "symbols", "connections", hubs.alias("hubs"), F.array_join("languages", ",").alias("languages")
+    )

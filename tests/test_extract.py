@@ -8,7 +8,6 @@ from codetrellis.operators.lexing import blank_trivia, tokens
 from codetrellis.operators.quality import cover_holds
 from codetrellis.operators.references import references, resolve_references
 from codetrellis.operators.resolve import call_edges, external_symbols, resolve_calls
-from codetrellis.session import REPO_KEYS
 
 SOURCES = {
     "plain.py": (
