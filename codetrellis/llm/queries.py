@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from codetrellis.llm import chat_format, packing, quality_rules, secrets  # noqa: F401
+from codetrellis.llm import chat_format, neighbours, packing, quality_rules, secrets  # noqa: F401
 from codetrellis.llm.registry import QUERIES, SQL  # noqa: F401
