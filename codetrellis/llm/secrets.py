@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrellis.llm.registry import query, table
+from codetrellis.session import cut
 
 
 @dataclass(frozen=True)
@@ -231,7 +232,8 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", out
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("text_key", F.xxhash64("_text"))
     index = postings(rows.select("text_key", F.col("_text").alias("text")), rules)
-    df = rows.join(candidates(index, rules), "text_key", "left")
+    # written first, so that the join reads two exchanges and a very frequent text can be split
+    df = rows.join(cut(candidates(index, rules)), "text_key", "left")
     for n, rule in enumerate(rules):
         if trigram_query(rule.regex):
             asked = F.coalesce(F.col("rule_bits"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << n)) != 0
