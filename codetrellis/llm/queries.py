@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from codetrellis.llm import chat_format, jaccard, neighbours, packing, quality_rules, repeats, secrets  # noqa: F401
+from codetrellis.llm import chat_format, jaccard, neighbours, packing, perplexity, quality_rules, repeats, secrets  # noqa: F401
 from codetrellis.llm.registry import QUERIES, SQL  # noqa: F401
