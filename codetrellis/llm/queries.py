@@ -2,5 +2,16 @@
 
 from __future__ import annotations
 
-from codetrellis.llm import chat_format, jaccard, neighbours, packing, perplexity, quality_rules, repeats, secrets  # noqa: F401
+from codetrellis.llm import (  # noqa: F401
+    chat_format,
+    jaccard,
+    mixing,
+    neighbours,
+    packing,
+    perplexity,
+    quality_rules,
+    repeats,
+    secrets,
+    token_counts,
+)
 from codetrellis.llm.registry import QUERIES, SQL  # noqa: F401
