@@ -14,4 +14,8 @@ from codetrellis.llm import (  # noqa: F401
     secrets,
     token_counts,
 )
-from codetrellis.llm.registry import QUERIES, SQL  # noqa: F401
+from codetrellis.llm.registry import QUERIES, SQL, query
+import corpus_pipeline
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+__all__ = ["QUERIES", "SQL"]
