@@ -385,6 +385,7 @@ def near_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     if not members.filter("_large").isEmpty():
         labels = labels.unionByName(_large_groups(_with_sets(texts.filter("_large"), join, "part"), join))
     labels = classes.join(labels, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("label", "doc_id").alias("component_id"))
+    labels = cut(labels)  # so that the join reads two exchanges and the copies of one set can be split
     return rows.join(labels, ["f1", "f2"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
