@@ -42,7 +42,7 @@ class Repeats:
 
     length: int = 200
     gram: int = 64
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 4 << 20
     phrases: int = 4096
     own: int = 16
 
