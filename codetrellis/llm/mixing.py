@@ -61,7 +61,7 @@ def _targets(cells: DataFrame, mix: Mix, column: str) -> DataFrame:
     else:
         raw = sums.select(column, F.pow("_t", F.lit(float(mix.flatten[column]))).alias("_raw"))
     total = raw.agg(F.sum("_raw").alias("s")).select("s").scalar()
-    return raw.select(column, (F.col("_raw") / total).alias("_share"))
+    return raw.select(column, F.coalesce(F.try_divide(F.col("_raw"), total), F.lit(0.0)).alias("_share"))
 
 
 def rake(cells: DataFrame, mix: Mix) -> DataFrame:

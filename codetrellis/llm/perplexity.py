@@ -99,10 +99,12 @@ def probabilities(trained: DataFrame, asked: DataFrame, order: int) -> DataFrame
     counts of each order. Without any trained n-gram all bytes are equally likely.
     """
 
-    def suffix(g, k):
-        return g.bitwiseAND(F.shiftleft(F.lit(1).cast("long"), 8 * k) - 1) if isinstance(k, int) else None
-
-    orders = F.array(*[F.struct(F.lit(k).alias("k"), suffix(F.col("gram"), k).alias("g")) for k in range(1, order + 1)])
+    orders = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("g"))
+            for k in range(1, order + 1)
+        ]
+    )
     seen = (
         trained.select(F.explode(orders).alias("_o"), "n")
         .groupBy(F.col("_o.k").alias("k"), F.col("_o.g").alias("g"))
@@ -116,12 +118,12 @@ def probabilities(trained: DataFrame, asked: DataFrame, order: int) -> DataFrame
         return F.sum(F.when(F.col("c") == j, 1).otherwise(0)).cast("double")
 
     of_counts = counts.groupBy("k").agg(*[times(j).alias(f"n{j}") for j in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def discount(j):
-        raw = F.lit(float(j)) - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}")
+        raw = F.lit(float(j)) - F.try_divide((j + 1) * y * F.col(f"n{j + 1}"), F.col(f"n{j}"))
         # where a count of counts is 0 the estimate is undefined
-        return F.least(F.greatest(F.coalesce(F.nanvl(raw, F.lit(0.5 * j)), F.lit(0.5 * j)), F.lit(0.1)), F.lit(float(j)))
+        return F.least(F.greatest(F.coalesce(raw, F.lit(0.5 * j)), F.lit(0.1)), F.lit(float(j)))
 
     discounts = of_counts.select("k", *[discount(j).alias(f"d{j}") for j in (1, 2, 3)])
     context = F.shiftright("g", 8)
