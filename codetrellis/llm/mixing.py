@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ class Mix:
     seed: int = 17
     tolerance: float = 1e-6
     sweeps: int = 60
-    #: at most so many cells are sent to all executors; more are joined by shuffle
+    #: at most so many cells are fitted on the driver and sent to all executors; more stay tables
     broadcast_cells: int = 100_000
 
 
@@ -103,12 +104,61 @@ def rake(cells: DataFrame, mix: Mix) -> DataFrame:
     return raked().drop(*[f"_f_{c}" for c in names])
 
 
+def _factor(mix: Mix, low: float, high: float, aim: float, drawn) -> float:
+    """Smallest factor found whose drawn tokens reach ``aim``; ``drawn`` sums for 33 candidates at a time."""
+    least, most = mix.budget / high / 2, 1 / low
+    for _ in range(8):
+        tries = [least * (most / least) ** (i / 32) for i in range(33)]
+        above = next((i for i, x in enumerate(drawn(tries)) if x >= aim), 32)
+        least, most = tries[max(above - 1, 0)], tries[above]
+    return most
+
+
+def _rates_here(rows: list, names: list[str], mix: Mix) -> np.ndarray:
+    """What ``rates`` gives, for a checked number of cells, in numpy on the driver."""
+    tokens = np.array([r["tokens"] for r in rows], float)
+    total, weight = tokens.sum(), tokens.copy()
+    if not total:
+        return np.ones(len(rows))
+    goals = []
+    for c in names:
+        values, codes = np.unique([r[c] for r in rows], return_inverse=True)
+        sums = np.bincount(codes, tokens)
+        raw = np.array([mix.targets[c].get(v, 0.0) for v in values]) if c in mix.targets else sums ** mix.flatten[c]
+        raw = np.where(sums > 0, raw, 0.0) if c in mix.targets else raw
+        goals.append((codes, raw / raw.sum() if raw.sum() else raw))
+    for _ in range(mix.sweeps):
+        worst = 0.0
+        for codes, share in goals:
+            sums = np.bincount(codes, weight)
+            worst = max(worst, np.abs(sums / total - share).max())
+            weight = weight * np.divide(share * total, sums, out=np.zeros_like(sums), where=sums > 0)[codes]
+        if worst <= mix.tolerance:
+            break
+    rate = np.divide(weight, tokens, out=np.zeros_like(tokens), where=tokens > 0)
+    if not rate.any():
+        return np.ones(len(rows))
+    factor = _factor(
+        mix, rate[rate > 0].min(), rate.max(), min(mix.budget, 1.0) * total,
+        lambda tries: [(tokens * np.minimum(1.0, rate * f)).sum() for f in tries],
+    )
+    return np.where(tokens > 0, np.minimum(1.0, rate * factor), 1.0)
+
+
 def rates(cells: DataFrame, mix: Mix) -> DataFrame:
     """``cells`` with ``probability``: the chance to draw a document of the cell.
 
     ``min(1, f * weight / tokens)`` with f such that the expected tokens are the budget's
-    share of all; f is narrowed down by sums over the cells, 33 candidates at a time.
+    share of all; f is narrowed down by sums over the cells. Up to
+    ``broadcast_cells`` cells, which are counted first, are fitted on the driver; more by jobs
+    over the cell table, to the same result.
     """
+    names = list(mix.flatten)
+    if cells.count() <= mix.broadcast_cells:
+        rows = cells.select(*names, "tokens").collect()
+        found = [(*[r[c] for c in names], round(float(p), 12)) for r, p in zip(rows, _rates_here(rows, names, mix))]
+        fields = ", ".join(f"{c} string" for c in names) + ", probability double"
+        return cells.join(F.broadcast(cells.sparkSession.createDataFrame(found, fields)), names)
     fitted = rake(cells, mix)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     fitted = cut(fitted.withColumn("_rate", rate))
@@ -117,14 +167,12 @@ def rates(cells: DataFrame, mix: Mix) -> DataFrame:
     ).first()
     if not total or not high:
         return fitted.withColumn("probability", F.lit(1.0)).drop("_rate")
-    aim = min(mix.budget, 1.0) * total
-    least, most = mix.budget / high / 2, 1 / low
-    for _ in range(8):
-        tries = [least * (most / least) ** (i / 32) for i in range(33)]
-        drawn = fitted.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("_rate") * f)) for f in tries]).first()
-        above = next((i for i, x in enumerate(drawn) if x >= aim), 32)
-        least, most = tries[max(above - 1, 0)], tries[above]
-    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("_rate") * most)).otherwise(F.lit(1.0))
+
+    def drawn(tries):
+        return fitted.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("_rate") * f)) for f in tries]).first()
+
+    factor = _factor(mix, low, high, min(mix.budget, 1.0) * total, drawn)
+    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("_rate") * factor)).otherwise(F.lit(1.0))
     return fitted.withColumn("probability", F.round(chance, 12)).drop("_rate")
 
 
