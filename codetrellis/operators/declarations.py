@@ -39,7 +39,9 @@ def declarations(files: DataFrame) -> Declarations:
             "sym_id",
             F.when(
                 F.col("sym_at").isNotNull(),
-                F.col("file_no") * F.lit(SYMBOLS_PER_FILE) + F.col("ordinal"),
+                F.when(
+                    F.col("ordinal") >= SYMBOLS_PER_FILE, F.raise_error(F.lit("a file has too many declarations to number"))
+                ).otherwise(F.col("file_no") * F.lit(SYMBOLS_PER_FILE) + F.col("ordinal")),
             ).cast("bigint"),
         )
         .drop(*FILE_KEY, "ordinal", "file_no", "sym_at")

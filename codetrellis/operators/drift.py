@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from codetrellis.functions import scores
 from codetrellis.session import REPO_KEYS, consecutive, top_k
 
-# fixed values: what counts as a movement
+# fixed values: what counts as a movement, and how many of them a report shows
 MIN_SPAN_CHANGE = 12
 MIN_CALLER_CHANGE = 2
 MIN_COMING_OR_GOING = 3
-MAX_ENTRIES = 8
+REPORT_ENTRIES = 8
 
 
 def scan_record(symbols: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def compare(
     history: DataFrame,
     cycles: DataFrame,
     pairs: DataFrame,
-    limit: int = MAX_ENTRIES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Drift entries of every scan against its predecessor, the ``limit`` largest.
+    """Drift entries of every scan against its predecessor, or the ``limit`` largest.
 
     ``history(repo, snap, sym_key, span, branches, callers)``,
     ``cycles(repo, snap, cycle_key)``, ``pairs(repo, previous, snap)``. A scan

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codetrellis.functions import rules, scores
 from codetrellis.operators.graph import roots
-from codetrellis.session import REPO_KEYS, top_k
+from codetrellis.session import REPO_KEYS, cut, top_k
 
 LOW, MEDIUM, HIGH = 0, 1, 2
 
@@ -22,10 +22,15 @@ class Limits:
     max_lines_per_file: int = 900
     complexity_score: int = 22
     god_function_callers: int = 45
-    max_per_kind: int = 12
-    max_cycles: int = 6
-    max_unreachable: int = 40
     min_unreachable_span: int = 4
+    # report limits, off unless asked for
+    max_per_kind: int | None = None
+    max_cycles: int | None = None
+    max_unreachable: int | None = None
+
+
+# fixed values: what a report shows
+REPORT = Limits(max_per_kind=12, max_cycles=6, max_unreachable=40)
 
 
 def _finding(
@@ -164,7 +169,7 @@ def unreachable(symbols: DataFrame) -> DataFrame:
 
 
 def unreachable_findings(symbols: DataFrame, limits: Limits) -> DataFrame:
-    """The cap comes before the filter on length."""
+    """With a limit, it comes before the filter on length."""
     first = top_k(unreachable(symbols), REPO_KEYS, ["sym_id"], limits.max_unreachable).drop("rank")
     return _finding(
         first.filter(F.col("span") >= limits.min_unreachable_span),
@@ -185,9 +190,10 @@ def find_issues(
     components: DataFrame,
     limits: Limits = Limits(),
 ) -> DataFrame:
-    """All findings, the worst ``max_per_kind`` of each kind per repository.
+    """All findings; with a limit the worst ``max_per_kind`` of each kind per repository.
 
-    ``place`` is the order of the list: severity, then kind, then rank.
+    ``place`` is the order of the list: severity, then kind, then rank. ``of_kind`` is
+    the true number of findings of the kind, whatever is shown.
     """
     everything = reduce(
         DataFrame.unionByName,
@@ -201,13 +207,15 @@ def find_issues(
         ],
     )
     worst = [F.col("severity").desc(), F.col("measure").desc(), "path", "line", "subject"]
+    everything = cut(everything)  # read twice: to count and to rank
+    total = everything.groupBy(*REPO_KEYS, "kind").agg(F.count(F.lit(1)).alias("of_kind"))
     kept = top_k(everything, REPO_KEYS + ["kind"], worst, limits.max_per_kind)
     place = [F.col("severity").desc(), "kind", "rank"]
-    return top_k(kept, REPO_KEYS, place, limits.max_per_kind * len(rules.FINDING_KINDS), "place")
+    return top_k(kept.join(total, REPO_KEYS + ["kind"]), REPO_KEYS, place, None, "place")
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:
-    """Findings per repository: total and per severity (A10)."""
+    """Findings of the given list per repository: total and per severity (A10)."""
     return findings.groupBy(*REPO_KEYS).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("severity") == HIGH).alias("high"),

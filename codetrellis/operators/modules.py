@@ -13,6 +13,10 @@ from codetrellis.session import REPO_KEYS, cut, distributed_rank, top_k
 
 FILE = REPO_KEYS + ["path"]
 
+# fixed values: what a picture of the file graph shows
+PICTURE_NODES = 60
+PICTURE_EDGES = 130
+
 
 @dataclass
 class FileGraph:
@@ -84,13 +88,14 @@ def collapse(
     symbols: DataFrame,
     edges: DataFrame,
     file_refs: DataFrame,
-    max_nodes: int | None = 60,
-    max_edges: int | None = 130,
+    max_nodes: int | None = None,
+    max_edges: int | None = None,
     include_tests: bool = False,
 ) -> FileGraph:
     """Files as nodes, dependencies as weighted edges.
 
-    An explicit reference weighs 3, a call site 1. ``None`` lifts a cap.
+    An explicit reference weighs 3, a call site 1. The graph is whole unless a limit
+    is given; a picture takes ``PICTURE_NODES`` and ``PICTURE_EDGES``.
     """
     inside = symbols.filter("path IS NOT NULL")
     located = located_edges(edges, symbols)
@@ -113,7 +118,7 @@ def collapse(
         "weight",
         "top_symbols",
     )
-    # both tables are small once capped and are read several times below
+    # both tables are read several times below
     modules = cut(modules)
     stated = file_refs.select(*REPO_KEYS, "src_path", "dst_path", F.lit(3).cast("bigint").alias("weight"))
     called = located.filter("src_path <> dst_path").select(

@@ -54,7 +54,13 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
             name_key + ["receiver"],
             "left",
         )
-        .join(types, REPO_KEYS + ["receiver"], "left")
+        # sites without a receiver match no type; a key of their own keeps them apart
+        .withColumn(
+            "_receiver",
+            F.coalesce("receiver", F.concat(F.lit("\0"), F.xxhash64("path", "callee").cast("string"))),
+        )
+        .join(types.withColumnRenamed("receiver", "_receiver"), REPO_KEYS + ["_receiver"], "left")
+        .drop("_receiver")
     )
     guarded = F.col("receiver").isNotNull() & F.col("callee").isin(rules.STANDARD_METHODS)
     target = (

@@ -1,4 +1,4 @@
-"""The whole analysis as lazy tables: a table nobody writes is never computed (K5)."""
+"""The whole analysis: a table is computed when it is first asked for (K5)."""
 
 from __future__ import annotations
 
@@ -21,8 +21,9 @@ from codetrellis.session import REPO_KEYS, cut
 class Options:
     include_external: bool = False
     tests_in_diagram: bool = False
-    max_nodes: int | None = 60
-    max_edges: int | None = 130
+    max_nodes: int | None = None
+    max_edges: int | None = None
+    include_tests: bool = True
     strip_import_comma: bool = False
     limits: findings.Limits = findings.Limits()
 

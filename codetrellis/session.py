@@ -49,12 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def distributed_rank(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+def distributed_rank(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
     """0-based dense position of every row inside its group, without one task per group.
 
     Rows are range-partitioned by (group, order), numbered inside each
     partition, and shifted by the number of rows the group has in earlier
-    partitions. ``(group, order)`` must identify a row. A group that holds most
+    partitions. Rows of equal ``(group, order)`` follow each other in any order;
+    ``order`` holds column names or sort expressions. A group that holds most
     of the data is spread over many partitions like any other.
     """
     keys = group + order
@@ -97,13 +98,19 @@ def consecutive(df: DataFrame, group: list[str], order: list[str], prefix: str =
     return ranked.join(follower, group + ["_at"]).drop("_at")
 
 
+# from this many rows on Spark no longer cuts a ranking before its shuffle
+_CUT_BEFORE_SHUFFLE = 1000
+
+
 def top_k(df: DataFrame, group: list[str], order: list, k: int | None, out: str = "rank") -> DataFrame:
-    """First ``k`` rows of every group in a total order, 1-based rank in ``out``.
+    """First ``k`` rows of every group in a total order, 1-based rank in ``out``; ``None`` ranks all.
 
-    ``row_number() <= k`` lets Spark cut every partition to k rows per group
-    before the shuffle, so a hot group costs k rows per task.
+    A small ``row_number() <= k`` lets Spark cut every partition to k rows per group
+    before the shuffle, so a hot group costs k rows per task; larger and open
+    rankings are dealt out by range.
     """
-    if k is None:
-        raise ValueError("an uncapped ranking goes through distributed_rank")
+    if k is None or k >= _CUT_BEFORE_SHUFFLE:
+        ranked = distributed_rank(df, group, order, "_at").withColumn(out, (F.col("_at") + 1).cast("int")).drop("_at")
+        return ranked if k is None else ranked.filter(F.col(out) <= k)
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)

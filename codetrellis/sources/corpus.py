@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +58,8 @@ def normalize_newlines(text: Column) -> Column:
 def relative_path(path: Column, root: str) -> Column:
     """Path below ``root`` with ``/`` separators."""
     whole = paths.normalize(path)
-    base = root.replace("\\", "/").rstrip("/")
-    return F.when(
-        whole.startswith(base), F.regexp_replace(F.substr(whole, F.lit(len(base) + 1)), "^/", "")
-    ).otherwise(whole)
+    base = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(whole.startswith(base), F.substr(whole, F.lit(len(base) + 1))).otherwise(whole)
 
 
 def line_count(text: Column) -> Column:
@@ -70,7 +71,7 @@ def select_files(
     files: DataFrame,
     *,
     include_tests: bool = True,
-    max_bytes: int = rules.MAX_FILE_BYTES,
+    max_bytes: int | None = rules.MAX_FILE_BYTES,
     max_files: int | None = None,
     skip_hidden: bool = True,
 ) -> DataFrame:
@@ -78,10 +79,13 @@ def select_files(
 
     ``content`` may be text or bytes; ``bytes`` is used when the source has it.
     ``max_files`` is off unless asked for; it keeps the first files in path order.
+    ``max_bytes`` may be ``None``; ``oversized_files`` lists what it leaves out.
     """
     size = F.col("bytes") if "bytes" in files.columns else F.octet_length("content")
     kept = files.withColumn("path", paths.normalize(F.col("path")))
-    kept = kept.filter(~in_skipped_directory(F.col("path"))).filter(size <= max_bytes)
+    kept = kept.filter(~in_skipped_directory(F.col("path")))
+    if max_bytes is not None:
+        kept = kept.filter(size <= max_bytes)
     if skip_hidden:
         kept = kept.filter(~is_hidden(F.col("path")))
     if not include_tests:
@@ -93,6 +97,14 @@ def select_files(
     return kept
 
 
+def oversized_files(files: DataFrame, max_bytes: int = rules.MAX_FILE_BYTES) -> DataFrame:
+    """``repo, snap, path, bytes`` of the files that the size limit leaves out (S3)."""
+    size = F.col("bytes") if "bytes" in files.columns else F.octet_length("content")
+    return files.select(*REPO_KEYS, paths.normalize(F.col("path")).alias("path"), size.cast("bigint").alias("bytes")).filter(
+        (F.col("bytes") > max_bytes) & ~in_skipped_directory(F.col("path"))
+    )
+
+
 def with_text(files: DataFrame) -> DataFrame:
     """Decode, normalise line endings and count lines: ``content`` becomes text."""
     content = F.col("content")
@@ -107,15 +119,18 @@ def read_tree(spark: SparkSession, root: str, repo: str, snap: str, **options) -
     """Read one directory tree as a corpus table.
 
     The size limit also reaches the reader, which then skips the content of
-    larger files.
+    larger files. A root without a scheme is a local folder, relative to the driver's.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .filter(F.col("length") <= options.get("max_bytes", rules.MAX_FILE_BYTES))
-    )
-    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    # scheme and authority go on both sides, so that a path is compared with a path
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+"
+    if not re.match(scheme, root) and not root.startswith("/"):
+        root = os.path.abspath(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    limit = options.get("max_bytes", rules.MAX_FILE_BYTES)
+    if limit is not None:
+        found = found.filter(F.col("length") <= limit)
+    plain = F.regexp_replace(F.col("path"), scheme, "/")
+    root = re.sub(scheme, "/", root)
     table = found.select(
         F.lit(repo).alias("repo"),
         F.lit(snap).alias("snap"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetrellis.operators.drift import compare, successions
-from codetrellis.session import REPO_KEYS
-from codetrellis.sources.sinks import append_history, latest_scans
+from codetrellis.session import REPO_KEYS, cut
+from codetrellis.sources.sinks import append_history, read_history
 
+# folders of repositories that a batch of the history is split into
+BUCKETS = 64
 HISTORY = "repo string, snap string, scanned_at timestamp, sym_key string, span int, branches int, callers bigint"
 
 
@@ -34,41 +37,73 @@ def windowed_figures(records: DataFrame, window: str = "1 day", delay: str = "1
     )
 
 
-def _stored(spark: SparkSession, root: str, schema: str) -> DataFrame:
+def _so_far(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """What is stored so far; nothing on the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
+    try:
+        return spark.read.option("basePath", root).schema(schema).parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(root)
 
 
-def stream_drift(records: DataFrame, history_root: str, drift_root: str, checkpoint: str):
+def stream_drift(
+    records: DataFrame, history_root: str, drift_root: str, checkpoint: str, limit: int | None = None
+):
     """Compare every arriving scan with the scan before it and store both.
 
-    A batch holds whole scans. Replaying a batch rewrites the same partitions of
-    the history and of the drift, so a restart changes nothing.
+    A scan may arrive in several batches, and late: rows are staged by batch, and each
+    batch compares anew the scans it brought rows of and the scans that follow
+    them, over all rows staged so far. Replaying a batch rewrites what it wrote. Rows with a
+    ``cycle_key``, if the stream has that column, are the cycles of a scan. The
+    history is staged in folders by batch and repository bucket; a batch reads the
+    buckets it touches. A scan whose entries are gone keeps one row without a kind.
     """
+    schema = records.schema
+    with_cycles = "cycle_key" in schema.names
+    drift_schema = (
+        "subject string, kind string, delta bigint, detail string, place int, regression boolean, "
+        "improvement boolean, repo string, snap string"
+    )
 
-    def merge(batch: DataFrame, _batch_id: int) -> None:
+    def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        arrived = batch.select(*REPO_KEYS, "scanned_at").distinct()
-        stored = _stored(spark, history_root, HISTORY).join(
-            arrived.select("repo").distinct(), "repo", "left_semi"
+        bucket = F.pmod(F.xxhash64("repo"), F.lit(BUCKETS)).cast("int")
+        staged = batch.withColumn("_batch", F.lit(batch_id)).withColumn("_bucket", bucket)
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_bucket").parquet(
+            history_root
         )
-        # a batch may be replayed: its own scans are not their own predecessors
-        older = stored.join(arrived.select(*REPO_KEYS), REPO_KEYS, "left_anti")
-        known = older.select(*REPO_KEYS, "scanned_at").distinct()
-        first_new = arrived.groupBy("repo").agg(F.min("scanned_at").alias("_first"))
-        before = latest_scans(known.join(first_new, "repo").filter("scanned_at < _first").drop("_first"))
-        scans = before.unionByName(arrived)
+        stored = _so_far(spark, history_root, f"{schema.toDDL()}, _batch bigint, _bucket int")
+        own = stored.filter(F.col("_batch") == batch_id)
+        touched = [r[0] for r in own.select("_bucket").distinct().collect()]  # at most BUCKETS numbers
+        if not touched:
+            return
+        arrived = cut(own.select(*REPO_KEYS).distinct())
+        known = stored.filter(F.col("_bucket").isin(touched)).join(arrived.select("repo").distinct(), "repo", "left_semi")
+        scans = cut(known.groupBy(*REPO_KEYS).agg(F.max("scanned_at").alias("scanned_at")))
+        after = arrived.withColumnRenamed("snap", "previous")
         pairs = successions(scans)
-        everything = batch.unionByName(older.join(before.select(*REPO_KEYS), REPO_KEYS, "left_semi").select(*batch.columns))
-        no_cycles = spark.createDataFrame([], "repo string, snap string, cycle_key string")
-        entries = compare(everything.drop("scanned_at"), no_cycles, pairs)
-        append_history(entries, drift_root)
-        append_history(batch, history_root)
-        batch.unpersist()
+        pairs = cut(
+            pairs.join(arrived, REPO_KEYS, "left_semi").unionByName(pairs.join(after, ["repo", "previous"], "left_semi")).distinct()
+        )
+        asked = pairs.select(*REPO_KEYS).unionByName(pairs.select("repo", F.col("previous").alias("snap"))).distinct()
+        rows = known.join(asked, REPO_KEYS, "left_semi")
+        newest = F.max_by(F.struct("span", "branches", "callers"), "_batch").alias("_r")
+        symbols = rows.filter("sym_key IS NOT NULL").groupBy(*REPO_KEYS, "sym_key").agg(newest).select(*REPO_KEYS, "sym_key", "_r.*")
+        cycles = (
+            rows.filter("cycle_key IS NOT NULL").select(*REPO_KEYS, "cycle_key").distinct()
+            if with_cycles
+            else spark.createDataFrame([], "repo string, snap string, cycle_key string")
+        )
+        entries = cut(compare(symbols, cycles, pairs, limit))
+        # a scan that had entries and has none now
+        before = _so_far(spark, drift_root, drift_schema).select(*REPO_KEYS).distinct()
+        gone = before.join(pairs, REPO_KEYS, "left_semi").join(entries, REPO_KEYS, "left_anti")
+        append_history(entries.unionByName(cut(gone), allowMissingColumns=True), drift_root)
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def read_drift(spark: SparkSession, drift_root: str) -> DataFrame:
+    """The entries that ``stream_drift`` stored."""
+    return read_history(spark, drift_root).filter("kind IS NOT NULL")

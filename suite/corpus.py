@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codetrellis.operators import findings, modules
 from codetrellis.plans.analysis import Analysis, Options
 from codetrellis.sources.corpus import read_corpus
 from suite.registry import shared, table
@@ -260,14 +261,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_corpus(raw_files(spark, sf_dir))
 
 
+# what the diagram and the report show
+PICTURE = {"max_nodes": modules.PICTURE_NODES, "max_edges": modules.PICTURE_EDGES, "limits": findings.REPORT}
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
-    return shared(spark, sf_dir, "analysis", lambda: Analysis(files(spark, sf_dir)))
+    return shared(spark, sf_dir, "analysis", lambda: Analysis(files(spark, sf_dir), Options(**PICTURE)))
 
 
 def analysis_with_externals(spark: SparkSession, sf_dir: str) -> Analysis:
     return shared(
         spark, sf_dir, "analysis with externals",
-        lambda: Analysis(files(spark, sf_dir), Options(include_external=True)),
+        lambda: Analysis(files(spark, sf_dir), Options(include_external=True, **PICTURE)),
     )
 
 

@@ -326,7 +326,7 @@ def _trade_sql(select: str, *ctes: str) -> str:
 
 
 class Trade:
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, whole=False):
         region = F.col("n_regionkey")
         folder = (
             F.when(region == 0, "src/view/").when(region == 1, "src/service/").when(region == 2, "src/store/")
@@ -370,16 +370,31 @@ class Trade:
         scored = shaped.withColumn("score", scores.difficulty_score(F.col("branches"), F.col("max_nesting"), F.col("span")))
         self.symbols = cut(graph.with_degrees(scored, self.edges, REPO_KEYS, "sym_id"))
         nothing = self.edges.select(*REPO_KEYS, F.lit("").alias("src_path"), F.lit("").alias("dst_path")).filter("false")
-        built = modules.collapse(self.symbols, self.edges, nothing)
+        limits = (None, None) if whole else (modules.PICTURE_NODES, modules.PICTURE_EDGES)
+        built = modules.collapse(self.symbols, self.edges, nothing, *limits)
         self.modules, self.module_edges = cut(built.modules), built.edges
         ends = self.module_edges.withColumnsRenamed({"src_path": "src", "dst_path": "dst"})
         self.components = cut(components.components(ends, REPO_KEYS).withColumnRenamed("node", "path"))
 
 
 def trade(spark, sf_dir) -> Trade:
+    """With the file graph as a picture shows it."""
     return shared(spark, sf_dir, "trade", lambda: Trade(spark, sf_dir))
 
 
+def whole_trade(spark, sf_dir) -> Trade:
+    """With the file graph as it is."""
+    return shared(spark, sf_dir, "whole trade", lambda: Trade(spark, sf_dir, whole=True))
+
+
+def _whole_sql(select: str, *ctes: str) -> str:
+    """The same statements without the limits of picture and report."""
+    text = _trade_sql(select, *ctes)
+    for limit in (" LIMIT 130", " LIMIT 60", " LIMIT 6\n", " LIMIT 40", " QUALIFY rank <= 12"):
+        text = text.replace(limit, "\n" if limit.endswith("\n") else "")
+    return text
+
+
 @query("trade_module_edges", _trade_sql("SELECT 'trade' AS repo, src_path, dst_path, weight FROM module_edge"))
 def trade_module_edges(spark, sf_dir):
     """J11, A6, R3 on a complete graph."""
@@ -506,8 +521,58 @@ ranked AS (
 def trade_findings(spark, sf_dir):
     """U1-U7, J13, R5, R12, P21."""
     t = trade(spark, sf_dir)
-    found = findings.find_issues(t.symbols, t.modules, t.module_edges, t.components)
-    return found.withColumn("measurement", findings.measurement(F.col("kind"), F.col("detail"))).drop("snap", "sym_id")
+    found = findings.find_issues(t.symbols, t.modules, t.module_edges, t.components, findings.REPORT)
+    measured = found.withColumn("measurement", findings.measurement(F.col("kind"), F.col("detail")))
+    return measured.drop("snap", "sym_id", "of_kind")
+
+
+@query(
+    "trade_module_edges_all",
+    _whole_sql("SELECT 'trade' AS repo, src_path, dst_path, weight FROM module_edge"),
+)
+def trade_module_edges_all(spark, sf_dir):
+    """J11, A6 on the whole file graph."""
+    return whole_trade(spark, sf_dir).module_edges.drop("snap")
+
+
+@query(
+    "trade_cycles_all",
+    _whole_sql("SELECT 'trade' AS repo, path, comp FROM comp JOIN comp_size USING (comp)", _TRADE_CLOSURE),
+)
+def trade_cycles_all(spark, sf_dir):
+    """G5 on the whole file graph."""
+    return whole_trade(spark, sf_dir).components.drop("snap")
+
+
+def _all_findings(spark, sf_dir):
+    t = whole_trade(spark, sf_dir)
+    return findings.find_issues(t.symbols, t.modules, t.module_edges, t.components)
+
+
+@query(
+    "trade_findings_all",
+    _whole_sql(
+        "SELECT 'trade' AS repo, kind, severity::INTEGER AS severity, subject, measure::BIGINT AS measure, detail, path, line, rank, "
+        "count(*) OVER (PARTITION BY kind) AS of_kind, row_number() OVER (ORDER BY severity DESC, kind, rank) AS place FROM ranked",
+        _TRADE_FINDINGS,
+    ),
+)
+def trade_findings_all(spark, sf_dir):
+    """U1-U7, J13 without report limits, with the true number of each kind."""
+    return _all_findings(spark, sf_dir).drop("snap", "sym_id")
+
+
+@query(
+    "trade_finding_counts_all",
+    _whole_sql(
+        "SELECT 'trade' AS repo, count(*) AS total, count(*) FILTER (severity = 2) AS high, count(*) FILTER (severity = 1) AS medium, "
+        "count(*) FILTER (severity = 0) AS low FROM ranked",
+        _TRADE_FINDINGS,
+    ),
+)
+def trade_finding_counts_all(spark, sf_dir):
+    """A10 over every finding."""
+    return findings.finding_counts(_all_findings(spark, sf_dir)).drop("snap")
 
 
 @query(
@@ -521,7 +586,8 @@ def trade_findings(spark, sf_dir):
 def trade_finding_counts(spark, sf_dir):
     """A10."""
     t = trade(spark, sf_dir)
-    return findings.finding_counts(findings.find_issues(t.symbols, t.modules, t.module_edges, t.components)).drop("snap")
+    shown = findings.find_issues(t.symbols, t.modules, t.module_edges, t.components, findings.REPORT)
+    return findings.finding_counts(shown).drop("snap")
 
 
 @query(

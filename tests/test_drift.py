@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codetrellis.operators import drift, explain
 from codetrellis.operators.quality import digest
 from codetrellis.sources.sinks import append_history, read_history, write_report
-from codetrellis.streaming.scans import HISTORY, stream_drift
+from codetrellis.streaming.scans import HISTORY, read_drift, stream_drift
 
 RECORD = "repo string, snap string, sym_key string, span int, branches int, callers bigint"
 
@@ -71,6 +71,37 @@ def test_history_replaces_a_scan(spark, tmp_path):
     assert {(r.snap, r.span) for r in read_history(spark, root).collect()} == {("1", 7), ("2", 6)}
 
 
+def test_keys_are_text(spark, tmp_path):
+    root = str(tmp_path / "keys")
+    append_history(spark.createDataFrame([("01", "007", "f#a", 1, 1, 1), ("1", "12e5", "f#a", 1, 1, 1)], RECORD), root)
+    assert {(r.repo, r.snap) for r in read_history(spark, root).collect()} == {("01", "007"), ("1", "12e5")}
+
+
+def test_split_and_late_scans_and_cycles(spark, tmp_path):
+    """Rows of scans in any order and in pieces end in what a batch over all rows gives."""
+    schema = HISTORY + ", cycle_key string"
+    rows = []
+    for n in range(4):
+        when = dt.datetime(2024, 1, 1 + n)
+        rows += [("01", f"00{n}", when, f"f#{i}", 10 + 13 * n * (i % 2), i, 1, None) for i in range(10)]
+        rows += [("01", f"00{n}", when, None, None, None, None, f"a|b|c{n // 2}")]
+    halves = {(n, k): [r for r in rows if r[1] == f"00{n}"][k::2] for n in range(4) for k in range(2)}
+    source = str(tmp_path / "in")
+    for part in [(0, 0), (3, 0), (2, 1), (0, 1), (3, 1), (1, 0), (2, 0), (1, 1)]:
+        spark.createDataFrame(halves[part], schema).coalesce(1).write.mode("append").parquet(source)
+        stream_drift(
+            spark.readStream.schema(schema).parquet(source),
+            str(tmp_path / "history"), str(tmp_path / "drift"), str(tmp_path / "state"),
+        ).trigger(availableNow=True).start().awaitTermination()
+    everything = spark.createDataFrame(rows, schema)
+    pairs = drift.successions(everything.select("repo", "snap", "scanned_at").distinct())
+    cycles = everything.filter("cycle_key IS NOT NULL").select("repo", "snap", "cycle_key")
+    batch = drift.compare(everything.filter("sym_key IS NOT NULL").drop("scanned_at", "cycle_key"), cycles, pairs)
+    streamed = read_drift(spark, str(tmp_path / "drift"))
+    assert {tuple(r) for r in streamed.select(batch.columns).collect()} == {tuple(r) for r in batch.collect()}
+    assert batch.filter("kind = 'newCycle'").count() == 1 and batch.count() == streamed.count() == 16
+
+
 def test_report_keeps_other_snapshots(spark, tmp_path):
     root = str(tmp_path / "report")
     for snap in ("a", "b"):

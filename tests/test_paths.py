@@ -83,3 +83,30 @@ def test_difficulty(spark):
     score = scores.difficulty_score(F.col("b"), F.col("n"), F.col("s"))
     got = df.select(score, scores.difficulty_band(score)).collect()
     assert [tuple(r) for r in got] == [(1, "easy"), (6, "moderate"), (11, "moderate"), (32, "hard")]
+
+
+def test_roots_may_be_relative_or_below_a_skipped_name(spark, tmp_path, monkeypatch):
+    from codetrellis.sources.corpus import oversized_files, read_tree
+
+    for name, text in (("build/proj/a.py", "def a():\n    pass\n"), ("build/proj-b/c.py", "x = 1\n"), ("build/proj/node_modules/d.py", "y = 1\n")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    monkeypatch.chdir(tmp_path)
+    for root in ("build/proj", "./build/proj/", f"{tmp_path}/build/proj", f"file://{tmp_path}/build/proj"):
+        assert [r.path for r in read_tree(spark, root, "r", "s").collect()] == ["a.py"]
+    assert read_tree(spark, "build/proj", "r", "s", max_bytes=None).count() == 1
+    assert read_tree(spark, "build/proj", "r", "s", max_bytes=3).count() == 0
+    files = spark.createDataFrame([("r", "s", "a.py", "12345"), ("r", "s", "b.py", "1")], "repo string, snap string, path string, content string")
+    assert [tuple(r) for r in oversized_files(files, 3).collect()] == [("r", "s", "a.py", 5)]
+
+
+def test_open_and_large_rankings(spark):
+    from codetrellis.session import top_k
+
+    rows = [("r", i % 50, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "repo string, score int, id int")
+    order = [df["score"].desc(), "id"]
+    expected = [r[2] for r in sorted(rows, key=lambda r: (-r[1], r[2]))]
+    for k in (None, 1500, 7):
+        got = {r.rank: r.id for r in top_k(df, ["repo"], order, k).collect()}
+        assert [got[i + 1] for i in range(len(got))] == expected[:k]
