@@ -134,16 +134,17 @@ def probabilities(trained: DataFrame, asked: DataFrame, order: int) -> DataFrame
         F.sum(F.when(F.col("c") >= 3, 1).otherwise(0)).cast("double").alias("c3"),
     )
     contexts = contexts.join(discounts, "k")
-    wanted = asked.select("gram", F.explode(orders).alias("_o")).select(
-        "gram", F.col("_o.k").alias("k"), F.col("_o.g").alias("g"), F.shiftright("_o.g", 8).alias("h")
-    )
-    joined = wanted.join(counts, ["k", "g"], "left").join(contexts, ["k", "h"], "left")
+    wanted = asked.select("gram", F.explode(orders).alias("_o")).select("gram", F.col("_o.k").alias("k"), F.col("_o.g").alias("g"))
+    # each shorter n-gram is rated once, so that the few short contexts meet few rows
+    once = wanted.select("k", "g").distinct().withColumn("h", F.shiftright("g", 8))
+    joined = once.join(counts, ["k", "g"], "left").join(contexts, ["k", "h"], "left")
     c = F.coalesce("c", F.lit(0))
     cut_off = F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).when(c == 1, F.col("d1")).otherwise(F.lit(0.0))
     own = F.coalesce((c - cut_off) / F.col("s"), F.lit(0.0))
     rest = F.coalesce((F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("s"), F.lit(1.0))
-    per = joined.groupBy("gram").agg(
-        *[F.max(F.when(F.col("k") == k, F.struct(own.alias("a"), rest.alias("r")))).alias(f"_{k}") for k in range(1, order + 1)]
+    rated = joined.select("k", "g", F.struct(own.alias("a"), rest.alias("r")).alias("_rated"))
+    per = wanted.join(rated, ["k", "g"]).groupBy("gram").agg(
+        *[F.max(F.when(F.col("k") == k, F.col("_rated"))).alias(f"_{k}") for k in range(1, order + 1)]
     )
     p = F.lit(1 / 256)
     for k in range(1, order + 1):
