@@ -75,7 +75,7 @@ def search(symbols: DataFrame, needles: DataFrame, limit: int = 40, keys: list[s
     return top_k(matched, keys + ["needle"], order, limit).drop("low_name", "low_container")
 
 
-def project_kinds(files: DataFrame, symbols: DataFrame, max_files: int = 400, max_hubs: int = 30) -> DataFrame:
+def project_kinds(files: DataFrame, symbols: DataFrame, max_files: int | None = 400, max_hubs: int | None = 30) -> DataFrame:
     """What kind of program each repository is.
 
     Evidence: the first paths and the most-called names. A kind scores the
@@ -116,7 +116,7 @@ def language_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(*REPO_KEYS, "language").agg(F.count(F.lit(1)).alias("files"))
 
 
-def top_languages(files: DataFrame, limit: int = 3) -> DataFrame:
+def top_languages(files: DataFrame, limit: int | None = 3) -> DataFrame:
     """Languages with the most files; ties in name order."""
     return top_k(language_counts(files), REPO_KEYS, [F.col("files").desc(), "language"], limit)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -28,6 +29,22 @@ class Options:
     limits: findings.Limits = findings.Limits()
 
 
+class Report(Mapping):
+    """Tables by name; each is built when it is taken out, so what nobody asks for never runs."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._builders[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
 class Analysis:
     """Tables derived from ``files(repo, snap, path, language, content, lines)``.
 
@@ -39,6 +56,11 @@ class Analysis:
         self.files = files
         self.options = options
 
+    @cached_property
+    def file_table(self) -> DataFrame:
+        """The files without their text; counting files and lines never reads the text again."""
+        return cut(self.files.drop("content"))
+
     @cached_property
     def _declared(self):
         return declarations(self.files)
@@ -133,22 +155,42 @@ class Analysis:
         return explain.explanations(self.symbols, self.edges)
 
     def summary(self) -> DataFrame:
-        return ranking.project_summary(self.files, self.symbols, self.edges, self.findings)
+        return ranking.project_summary(self.file_table, self.symbols, self.edges, self.findings)
+
+    def drift(self, history: DataFrame, cycles: DataFrame, scans: DataFrame, limit: int | None = None) -> DataFrame:
+        """What moved since the scans before, with ``previous`` and its time.
+
+        ``history`` and ``cycles`` hold the records of all scans, this one's included;
+        ``scans`` is ``(repo, snap, scanned_at)``.
+        """
+        pairs = cut(drift.successions(scans))
+        then = scans.select("repo", F.col("snap").alias("previous"), F.col("scanned_at").alias("previous_at"))
+        return drift.compare(history, cycles, pairs, limit).join(pairs, REPO_KEYS).join(then, ["repo", "previous"])
 
-    def tables(self, layout: bool = True) -> dict[str, DataFrame]:
+    def tables(self, layout: bool = True, languages_shown: int = 3) -> Report:
         """All tables of the report; ``layout`` adds the file graph's orders."""
-        found = {
-            "files": self.files.drop("content"),
-            "symbols": self.symbols,
-            "edges": self.edges,
-            "file_refs": self.file_refs,
-            "modules": self.modules,
-            "module_edges": self.module_edges,
-            "findings": self.findings,
-            "route": self.route,
-            "summary": self.summary(),
+        found: dict[str, Callable[[], DataFrame]] = {
+            "files": lambda: self.file_table,
+            "languages": lambda: ranking.top_languages(self.file_table, languages_shown),
+            "symbols": lambda: self.symbols,
+            "edges": lambda: self.edges,
+            "file_refs": lambda: self.file_refs,
+            "modules": lambda: self.modules,
+            "module_edges": lambda: self.module_edges,
+            "districts": lambda: modules.district_rollup(self.modules),
+            "hubs": lambda: graph.hubs(self.symbols, REPO_KEYS, node="sym_id"),
+            "chains": self.chains,
+            "cycles": lambda: self.components,
+            "findings": lambda: self.findings,
+            "finding_counts": lambda: findings.finding_counts(self.findings),
+            "project_kinds": lambda: ranking.project_kinds(self.file_table, self.symbols),
+            "explanations": self.explanations,
+            "route": self.route_with_reach,
+            "scan_record": self.scan_record,
+            "cycle_record": self.cycle_record,
+            "summary": self.summary,
         }
         if layout:
-            found["matrix"] = modules.matrix_order(self.modules)
-            found["columns"] = modules.seed_order(self.modules, self.depths)
-        return found
+            found["matrix"] = lambda: modules.matrix_order(self.modules)
+            found["columns"] = lambda: modules.seed_order(self.modules, self.depths)
+        return Report(found)

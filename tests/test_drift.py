@@ -138,3 +138,33 @@ def test_labels_keep_unknown_values(spark):
     df = spark.createDataFrame([("ui",), ("odd",)], "layer string")
     got = explain.with_label(df, explain.labels(spark), "layer", "layer", "text").collect()
     assert {r.layer: r.text for r in got} == {"ui": "user interface", "odd": "odd"}
+
+
+def test_report_tables_are_built_on_demand(spark, corpus_of, tmp_path):
+    from codetrellis.plans.analysis import Analysis, Options
+    from codetrellis.sources.sinks import write_json_documents
+
+    files = corpus_of({
+        "pkg/a.py": "from pkg.b import two\n\ndef one():\n    two()\n",
+        "pkg/b.py": "from pkg.a import one\n\ndef two():\n    one()\n\ndef three():\n    two()\n",
+    })
+    report = Analysis(files, Options(include_external=True)).tables()
+    assert "content" not in report["files"].columns and {"hubs", "chains", "cycles", "route", "explanations"} < set(report)
+    write_report(report, str(tmp_path))
+    for name in report:
+        assert spark.read.parquet(f"{tmp_path}/{name}").columns
+    assert spark.read.parquet(f"{tmp_path}/cycles").count() == 2
+    write_json_documents(report["summary"], str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 1
+
+
+def test_drift_names_the_scan_before(spark, corpus_of):
+    from codetrellis.plans.analysis import Analysis
+
+    history = spark.createDataFrame([("r", "0", f"a.py#f{i}", 1, 1, 1) for i in range(4)], RECORD)
+    none = spark.createDataFrame([], "repo string, snap string, cycle_key string")
+    a = Analysis(corpus_of({"a.py": "def one():\n    pass\n"}))
+    now = history.unionByName(a.scan_record().select(history.columns))
+    scans = spark.createDataFrame([("r", "0", dt.datetime(2024, 1, 1)), ("r", "a", dt.datetime(2024, 1, 2))], "repo string, snap string, scanned_at timestamp")
+    found = a.drift(now, none, scans).collect()
+    assert [(r.kind, r.delta, r.previous, r.previous_at) for r in found] == [("vanished", -4, "0", dt.datetime(2024, 1, 1))]
