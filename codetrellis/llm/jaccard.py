@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -31,20 +31,27 @@ from codetrellis.session import cut
 class Join:
     """Similarity ``num / den`` on shingles of ``width`` words.
 
-    ``expected`` sets in a band and the chance ``common`` that a shingle of one set
-    is in an unrelated one steer the cost only, never the result.
+    ``expected`` sets in a band (a tenth of all if not given) and the chance ``common`` that a
+    shingle of one set is in an unrelated one steer the cost only, never the result.
     """
 
     width: int = 5
     num: int = 80
     den: int = 100
     ratio: float = 1.25
-    expected: int = 100_000
-    common: float = 0.1
+    expected: int | None = None
+    common: float = 0.01
+    #: share of the differing segments that a set may drop as frequent
+    frequent: float = 0.1
+    #: members of a signature up to which every pair is looked at; larger signatures are dropped by the
+    #: sets that can spare them
+    few: int = 8
     #: shingles of one candidate group that are verified together in one task
     together: int = 1_000_000
     #: share of segments with one-deletion neighbourhoods; None lets the cost decide
     deletions: float | None = None
+    #: members above which a table is joined by shuffle instead of being broadcast
+    broadcast_rows: int = 500_000
 
 
 @dataclass(frozen=True)
@@ -68,26 +75,32 @@ def _scheme(join: Join, low: int, high: int) -> Scheme:
     """Segments for sets of sizes ``low`` to ``high`` and the smaller ones they can join.
 
     Each segment that differs uses up one of the H differing shingles, a loose one two;
-    segments and loose ones together must exceed H by the spare ones, so that
-    an agreeing segment is left when up to ``spare`` small segments are skipped.
+    segments and loose ones together must exceed H by the spare ones, so that an agreeing
+    segment is left when up to ``spare`` empty and frequent segments are left out.
     """
     differing = 2 * high * (join.den - join.num) // (join.den + join.num)
     size = (low + high) / 2
     best = None
     shares = (0.0, 0.25, 0.5, 1.0) if join.deletions is None else (join.deletions,)
     for share in shares:
-        for spare in range(0, differing + 2):
+        for spare in range(0, 2 * differing + 8):
             segments = math.ceil((differing + 1 + spare) / (1 + share))
             loose = max(differing + 1 + spare - segments, 0)
-            per = size / segments
-            tiny = (segments - loose) * math.exp(-per) * (1 + per)
-            signatures = segments + loose * per
-            false = segments * join.expected * join.common ** max(per, 1)
-            # sets with too many small segments cannot skip them
-            unskipped = join.expected * math.exp(-per) if tiny + 2 * math.sqrt(tiny) > spare and differing else 0
-            cost = signatures + false + unskipped
+            strict, per = segments - loose, size / segments
+            # a segment holds j shingles of a set with a Poisson chance; an unrelated set has the
+            # same if it has these j, each by chance, and no other
+            empty, single = math.exp(-per), per * math.exp(-per)
+            enough = strict * empty + 2 * math.sqrt(strict * empty) + join.frequent * differing <= spare
+            if not enough and spare < 2 * differing + 7:
+                continue
+            more = sum(math.exp(-per + j * math.log(per * join.common) - math.lgamma(j + 1)) for j in range(2, 12))
+            chance = more + single * join.common + (0 if enough else empty)
+            # one of a pair may lack a shingle of the other: an empty segment meets single ones
+            near = empty + 2 * single + 3 * (1 + per) * (single * join.common + more)
+            cost = segments + loose * per + join.expected * empty * (strict * chance + loose * near)
             if best is None or cost < best[0]:
                 best = (cost, Scheme(segments, loose, spare))
+            break
     return best[1]
 
 
@@ -104,20 +117,21 @@ class Indexer:
             self.edges = band_edges(self.join.ratio, int(sizes.max()))
         return np.searchsorted(self.edges, sizes, side="right") - 1
 
-    def signatures(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Signature, set number and whether a shingle was left out."""
+    def signatures(self, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Signature, set number, whether a shingle was left out, how many more the set could do
+        without, and the band."""
         sizes = np.diff(bounds)
         reach = sizes * self.join.den // self.join.num
         top = self.band(reach)
         first = self.band(sizes)
-        out = [[], [], []]
+        out = [[], [], [], [], []]
         for band in range(int(first.min(initial=0)), int(top.max(initial=-1)) + 1):
             sets = np.flatnonzero((first <= band) & (band <= top) & (sizes > 0))
             if len(sets):
                 for kept, part in zip(out, self._under(band, sets, values, bounds)):
                     kept.append(part)
         if not out[0]:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+            return tuple(np.zeros(0, k) for k in (np.uint64, np.int64, bool, np.int64, np.int64))
         return tuple(np.concatenate(x) for x in out)
 
     def _under(self, band: int, sets, values, bounds):
@@ -133,11 +147,12 @@ class Indexer:
         np.add.at(total, cell, weight)
         held = np.bincount(cell, minlength=len(total)).reshape(len(sets), -1)
         strict = np.arange(scheme.segments) >= scheme.loose
-        skip = np.zeros(held.shape, bool)
-        for most in (0, 1):  # skip empty segments, then those of one shingle, while the spare ones allow it
-            small = (held <= most) & strict
-            allowed = small.sum(axis=1) <= scheme.spare
-            skip[allowed] = small[allowed]
+        # empty segments are skipped if the spare ones allow it; what is skipped must be nested
+        # between any two sets, so only a set that skips them may drop frequent signatures too
+        skip = (held == 0) & strict
+        allowed = skip.sum(axis=1) <= scheme.spare
+        skip[~allowed] = False
+        spared = np.where(allowed, scheme.spare - skip.sum(axis=1), 0)
         own = np.flatnonzero(~skip.ravel())
         name = mixed(np.arange(scheme.segments, dtype=np.uint64), 17 + band)
         signature = [mixed(total[own] ^ name[own % scheme.segments])]
@@ -147,7 +162,10 @@ class Indexer:
             signature.append(mixed((total[cell[near]] - weight[near]) ^ name[segment[near]]))
             owner.append(row[near])
             less.append(np.ones(len(near), bool))
-        return np.concatenate(signature), sets[np.concatenate(owner)], np.concatenate(less)
+        owner = np.concatenate(owner)
+        # a loose segment weighs two, so only sets whose spare ones cover strict segments count
+        room = spared[owner] // (2 if scheme.loose else 1)
+        return np.concatenate(signature), sets[owner], np.concatenate(less), room, np.full(len(owner), band)
 
 
 def fingerprints(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,34 +181,60 @@ def _sets(batch_column, join: Join, rolling: Rolling):
         yield (a, b, *shingle_sets(data[part[0] : part[-1]], part - part[0], join.width, rolling))
 
 
+SKETCH_BITS = 1024
+
+
+def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """1024 parity bits per set, as 16 numbers: sets differ in at least as many shingles as bits."""
+    out = np.zeros((len(bounds) - 1, SKETCH_BITS), np.uint8)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    np.bitwise_xor.at(out, (row, (mixed(values, 31) % np.uint64(SKETCH_BITS)).astype(np.int64)), 1)
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 def set_rows(docs: DataFrame, join: Join) -> DataFrame:
-    """``doc_id, f1, f2, n_shingles`` of every row; f1 and f2 name the set."""
+    """``doc_id, f1, f2, n_shingles, sketch`` of every row; f1 and f2 name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
             for a, b, values, bounds in _sets(batch.column(1), join, rolling):
                 f1, f2 = fingerprints(values, bounds)
+                words = sketches(values, bounds).ravel()
+                ends = np.arange(b - a + 1, dtype=np.int32) * (SKETCH_BITS // 64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(np.diff(bounds))],
-                    ["doc_id", "f1", "f2", "n_shingles"],
+                    [
+                        batch.column(0).slice(a, b - a),
+                        pa.array(f1.view(np.int64)),
+                        pa.array(f2.view(np.int64)),
+                        pa.array(np.diff(bounds)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(words)),
+                    ],
+                    ["doc_id", "f1", "f2", "n_shingles", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, f1 long, f2 long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, f1 long, f2 long, n_shingles long, sketch array<long>"
+    )
+
 
+ENTRY = np.dtype([("s", "<u4"), ("f", "<i8"), ("r", "u1"), ("b", "u1")])
 
-def candidate_edges(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
-    """Edges ``u, v`` between first fingerprints of sets that share a signature.
+
+def candidate_rows(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
+    """Sets that share a signature: ``kind, u, v, band, room``.
 
     Each task hands on, per bucket of signatures, one row of packed (signature, set)
-    pairs without repeats. A bucket links the sets of a signature to their smallest one:
-    as many edges as members, never all pairs.
+    entries without the copies in a block. Kind 0 is a pair ``u, v`` of first fingerprints,
+    from signatures of up to ``few`` sets. Larger signatures give members only, kind 1:
+    set ``u`` under signature ``v``, its band, and how many signatures it can spare there.
+    Inside a bucket 32 bits name a signature; a clash can only add candidates.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, indexer = Rolling(), Indexer(join)
         for batch in batches:
-            signatures, names, less = [], [], []
+            parts, where = [], []
             for _, _, values, bounds in _sets(batch.column(0), join, rolling):
                 f1, _ = fingerprints(values, bounds)
                 _, one = np.unique(f1, return_index=True)  # copies inside a block are indexed once
@@ -199,45 +243,81 @@ def candidate_edges(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
                     continue
                 sizes = np.diff(bounds)[one]
                 at = np.arange(int(sizes.sum())) + np.repeat(bounds[one] - (np.cumsum(sizes) - sizes), sizes)
-                s, owner, d = indexer.signatures(values[at], np.concatenate([[0], np.cumsum(sizes)]))
-                signatures.append(s)
-                names.append(f1[one][owner])
-                less.append(d)
-            if signatures:
-                s, f, d = np.concatenate(signatures), np.concatenate(names), np.concatenate(less)
-                bucket = (s % np.uint64(buckets)).astype(np.int64)
+                s, owner, less, room, band = indexer.signatures(values[at], np.concatenate([[0], np.cumsum(sizes)]))
+                entry = np.empty(len(s), ENTRY)
+                entry["s"], entry["f"], entry["b"] = s >> np.uint64(32), f1[one][owner].view(np.int64), band
+                entry["r"] = np.minimum(room, 127) + 128 * less
+                parts.append(entry)
+                where.append((s % np.uint64(buckets)).astype(np.int64))
+            if parts:
+                entry, bucket = np.concatenate(parts), np.concatenate(where)
                 order = np.argsort(bucket, kind="stable")
-                s, f, d, bucket = s[order], f[order], d[order], bucket[order]
+                entry, bucket = entry[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(cuts[1:], len(bucket))
-                rows = [np.concatenate([s[i:j], f[i:j]]).tobytes() for i, j in zip(cuts, ends)]
-                flags = [np.packbits(d[i:j]).tobytes() for i, j in zip(cuts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cuts]), pa.array(rows, pa.binary()), pa.array(flags, pa.binary())],
-                    ["bucket", "pairs", "flags"],
-                )
+                rows = [entry[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(bucket)))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(rows, pa.binary())], ["bucket", "entries"])
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        s, f, d = [], [], []
-        for pairs, flags in zip(rows["pairs"].to_pylist(), rows["flags"].to_pylist()):
-            both = np.frombuffer(pairs, np.uint64).reshape(2, -1)
-            s.append(both[0])
-            f.append(both[1])
-            d.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=both.shape[1]).astype(bool))
-        s, f, d = np.concatenate(s), np.concatenate(f).view(np.int64), np.concatenate(d)
-        order = np.lexsort((f, s))
-        s, f, d = s[order], f[order], d[order]
-        first = np.flatnonzero(np.diff(s, prepend=s[:1] + np.uint64(1)) != 0) if len(s) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(first, len(s)))
-        whole = np.maximum.reduceat((~d).astype(np.int8), first) if len(first) else first
-        lowest = np.repeat(f[first], sizes)
-        # two sets that only share a left-out form differ by two shingles there: not asked for
-        real = (f != lowest) & np.repeat(whole > 0, sizes)
-        edges = np.unique(np.stack([lowest[real], f[real]]), axis=1) if real.any() else np.zeros((2, 0), np.int64)
-        return pa.table({"u": pa.array(edges[0]), "v": pa.array(edges[1])})
-
-    packed = docs.select("text").mapInArrow(index, "bucket long, pairs binary, flags binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "u long, v long").distinct()
+        entry = np.concatenate([np.frombuffer(x, ENTRY) for x in rows["entries"].to_pylist()])
+        less = entry["r"] >= 128
+        entry = entry[np.lexsort((less, entry["f"], entry["s"]))]
+        new = np.ones(len(entry), bool)
+        new[1:] = (entry["s"][1:] != entry["s"][:-1]) | (entry["f"][1:] != entry["f"][:-1])
+        entry = entry[new]
+        first = np.flatnonzero(np.diff(entry["s"].astype(np.int64), prepend=-1))
+        sizes = np.diff(np.append(first, len(entry)))
+        # sets that only share a left-out form differ by two shingles there: not asked for
+        whole = np.logical_or.reduceat(entry["r"] < 128, first)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in range(2, join.few + 1):
+            some = first[(sizes == n) & whole]
+            members = entry["f"][some[:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            us.append(members[:, i].ravel())
+            vs.append(members[:, j].ravel())
+        pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
+        many = np.repeat((sizes > join.few) & whole, sizes)
+        hot = entry[many]
+        name = (int(key[0].as_py()) << 32) | hot["s"].astype(np.int64)
+        n, m = pairs.shape[1], len(hot)
+        none = np.zeros(n, np.int64)
+        return pa.table(
+            {
+                "kind": pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)),
+                "u": pa.array(np.concatenate([pairs[0], hot["f"]])),
+                "v": pa.array(np.concatenate([pairs[1], name])),
+                "band": pa.array(np.concatenate([none, hot["b"]]).astype(np.int32)),
+                "room": pa.array(np.concatenate([none, hot["r"] % 128]).astype(np.int32)),
+            }
+        )
+
+    packed = docs.select("text").mapInArrow(index, "bucket long, entries binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "kind int, u long, v long, band int, room int").distinct()
+
+
+def candidate_edges(found: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """Edges ``u, v`` that connect, directly or not, all sets of enough similarity.
+
+    Pairs are dropped if their parity sketches differ in too many bits. Of the large
+    signatures a set drops those of a band if it can spare them all: an agreeing one is
+    left by the count of segments. The others' members hang on the smallest of them.
+    """
+    one = classes.groupBy("f1").agg(F.first("sketch").alias("_s"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_c"))
+    a = one.select(F.col("f1").alias("u"), F.col("_s").alias("_su"), F.col("_n").alias("_nu"), F.col("_c").alias("_cu"))
+    b = one.select(F.col("f1").alias("v"), F.col("_s").alias("_sv"), F.col("_n").alias("_nv"), F.col("_c").alias("_cv"))
+    apart = F.aggregate(F.zip_with("_su", "_sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = found.filter("kind = 0").select("u", "v").join(a, "u").join(b, "v")
+    # f1 may, once in a great while, name two sets: such pairs stay
+    alike = pairs.filter(
+        (F.col("_cu") + F.col("_cv") > 2)
+        | (apart * (join.den + join.num) <= (F.col("_nu") + F.col("_nv")) * (join.den - join.num))
+    ).select("u", "v")
+    members = found.filter("kind = 1")
+    per = members.groupBy("u", "band").agg(F.count(F.lit(1)).alias("_many"))
+    left = cut(members.join(per, ["u", "band"]).filter("_many > room").select("u", "v"))
+    lowest = left.groupBy("v").agg(F.min("u").alias("_low"))
+    stars = left.join(lowest, "v").filter("u <> _low").select(F.col("_low").alias("u"), F.col("u").alias("v"))
+    return alike.unionByName(stars)
 
 
 def verified_groups(values: list[np.ndarray], join: Join) -> np.ndarray:
@@ -321,7 +401,7 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
             column = batch.column(1)
             bounds = column.offsets.to_numpy().astype(np.int64)
             values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            s, owner, _ = indexer.signatures(values, bounds - bounds[0])
+            s, owner, *_ = indexer.signatures(values, bounds - bounds[0])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s.view(np.int64)), batch.column(0).take(pa.array(owner))], ["signature", "node"]
             )
@@ -374,16 +454,23 @@ def near_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = cut(set_rows(docs, join))
-    classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("_n"))
-    edges = candidate_edges(docs, join, max(16, size >> 22))
+    if join.expected is None:
+        join = replace(join, expected=rows.count() // 10 + 1)
+    classes = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("_n"), F.first("sketch").alias("sketch")
+    )
+    found = cut(candidate_rows(docs, join, max(16, size >> 22)))
+    edges = candidate_edges(found, classes, join)
+    classes = classes.drop("sketch")
     parts = cut(connected(edges).select(F.col("node").alias("f1"), F.col("label").alias("part")))
     members = cut(classes.join(parts, "f1"))
     sizes = members.groupBy("part").agg(F.sum("_n").alias("_all"))
-    members = members.join(sizes, "part").withColumn("_large", F.col("_all") > join.together)
-    texts = docs.join(members.select("part", "f1", "f2", "doc_id", "_large"), "doc_id")
+    members = cut(members.join(sizes, "part").select("part", "f1", "f2", "doc_id", (F.col("_all") > join.together).alias("_large")))
+    texts = docs.join(F.broadcast(members) if members.count() <= join.broadcast_rows else members, "doc_id")
     labels = _small_groups(_with_sets(texts.filter("NOT _large"), join, "part"), join)
     if not members.filter("_large").isEmpty():
         labels = labels.unionByName(_large_groups(_with_sets(texts.filter("_large"), join, "part"), join))
+    rows = rows.drop("sketch")
     labels = classes.join(labels, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("label", "doc_id").alias("component_id"))
     labels = cut(labels)  # so that the join reads two exchanges and the copies of one set can be split
     return rows.join(labels, ["f1", "f2"], "left").select(

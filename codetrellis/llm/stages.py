@@ -18,8 +18,15 @@ from codetrellis.llm.secrets import redacted, scan
 from codetrellis.session import cut
 
 
+#: ids up to which a list of documents to drop is broadcast; a longer one is joined by shuffle
+BROADCAST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``doc_id`` is in ``gone(_gone)``; null matches null."""
+    gone = cut(gone)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
@@ -30,7 +37,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     verdicts = classify(docs, trusted_ids(table(spark, sf_dir, "labels")))
     gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).filter("NOT _kept")
-    return _without(docs, cut(gone.select("_gone")))
+    return _without(docs, gone.select("_gone"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

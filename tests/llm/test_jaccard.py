@@ -66,6 +66,8 @@ EDGES = [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "one"), (9005, "ONE")
         Join(width=3, num=80, den=100, deletions=1.0),
         Join(width=3, num=80, den=100, deletions=0.5, together=500),
         Join(width=3, num=90, den=100, together=1),
+        Join(width=3, num=80, den=100, few=1, expected=10**9, broadcast_rows=0),
+        Join(width=3, num=70, den=100, few=2, deletions=0.25, expected=10**7),
     ],
 )
 def test_components_equal_brute_force(spark, join):
