@@ -18,7 +18,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     away with the executor.
     """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is not None:
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
