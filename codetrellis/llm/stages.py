@@ -71,7 +71,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents drawn for the target weights of sources, languages and forms."""
-    return mixed_documents(docs).filter("_chosen").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), "doc_id", "text", "source", "lang"
+    )
+    drawn = mixed_documents(rows).filter("_chosen").select("_whole")
+    return drawn.select(*[F.col("_whole")[c].alias(c) for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

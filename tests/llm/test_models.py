@@ -298,7 +298,8 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert clean.columns == docs.columns
     texts = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
     assert texts[300] == (rows[3][1] + " [SECRET]", len(rows[3][1]) + 9) and texts[7] == (rows[7][1], 0)
-    assert stages.source_mixing(spark, kept, str(tmp_path)).columns == docs.columns
+    drawn = stages.source_mixing(spark, kept.withColumn("_tokens", F.lit("mine")), str(tmp_path))
+    assert drawn.columns == [*docs.columns, "_tokens"] and {r["_tokens"] for r in drawn.collect()} == {"mine"}
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert packed and {r.doc_id for r in packed} <= {r.doc_id for r in kept.collect()}
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
