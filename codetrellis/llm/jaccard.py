@@ -47,7 +47,7 @@ class Join:
     #: sets that can spare them
     few: int = 8
     #: shingles of one candidate group that are verified together in one task
-    together: int = 1_000_000
+    together: int = 4_000_000
     #: share of segments with one-deletion neighbourhoods; None lets the cost decide
     deletions: float | None = None
     #: members above which a table is joined by shuffle instead of being broadcast
@@ -181,15 +181,21 @@ def _sets(batch_column, join: Join, rolling: Rolling):
         yield (a, b, *shingle_sets(data[part[0] : part[-1]], part - part[0], join.width, rolling))
 
 
-SKETCH_BITS = 1024
+def sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of every set, as 64-bit words, and the bounds of each set's words.
 
-
-def sketches(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """1024 parity bits per set, as 16 numbers: sets differ in at least as many shingles as bits."""
-    out = np.zeros((len(bounds) - 1, SKETCH_BITS), np.uint8)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    np.bitwise_xor.at(out, (row, (mixed(values, 31) % np.uint64(SKETCH_BITS)).astype(np.int64)), 1)
-    return np.packbits(out, axis=1).view(np.int64)
+    At least 1024 and, beyond 512 shingles, at least two bits a shingle; the number is a power of
+    two, so that the longer of two sketches folds to the shorter. Sets differ in at
+    least as many shingles as bits.
+    """
+    sizes = np.diff(bounds)
+    bits = 1 << np.maximum(10, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros(int(ends[-1]), np.uint8)
+    at = mixed(values, 31) % bits[row].astype(np.uint64)
+    np.bitwise_xor.at(out, ends[row] + at.astype(np.int64), 1)
+    return np.packbits(out).view(np.int64), ends // 64
 
 
 def set_rows(docs: DataFrame, join: Join) -> DataFrame:
@@ -200,15 +206,14 @@ def set_rows(docs: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             for a, b, values, bounds in _sets(batch.column(1), join, rolling):
                 f1, f2 = fingerprints(values, bounds)
-                words = sketches(values, bounds).ravel()
-                ends = np.arange(b - a + 1, dtype=np.int32) * (SKETCH_BITS // 64)
+                words, ends = sketches(values, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(f1.view(np.int64)),
                         pa.array(f2.view(np.int64)),
                         pa.array(np.diff(bounds)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(words)),
+                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words)),
                     ],
                     ["doc_id", "f1", "f2", "n_shingles", "sketch"],
                 )
@@ -305,13 +310,24 @@ def candidate_edges(found: DataFrame, classes: DataFrame, join: Join) -> DataFra
     one = classes.groupBy("f1").agg(F.first("sketch").alias("_s"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_c"))
     a = one.select(F.col("f1").alias("u"), F.col("_s").alias("_su"), F.col("_n").alias("_nu"), F.col("_c").alias("_cu"))
     b = one.select(F.col("f1").alias("v"), F.col("_s").alias("_sv"), F.col("_n").alias("_nv"), F.col("_c").alias("_cv"))
-    apart = F.aggregate(F.zip_with("_su", "_sv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    words = F.least(F.size("_su"), F.size("_sv"))
+
+    def folded(sketch):  # sizes of a pair differ by less than two, so one fold is enough
+        halves = F.zip_with(F.slice(sketch, F.lit(1), words), F.slice(sketch, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(sketch) > words, halves).otherwise(F.col(sketch))
+
+    differing = F.zip_with(folded("_su"), folded("_sv"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differing, F.lit(0), lambda n, x: n + x)
+    smaller, larger = F.least("_nu", "_nv"), F.greatest("_nu", "_nv")
     pairs = found.filter("kind = 0").select("u", "v").join(a, "u").join(b, "v")
     # f1 may, once in a great while, name two sets: such pairs stay
-    alike = pairs.filter(
-        (F.col("_cu") + F.col("_cv") > 2)
-        | (apart * (join.den + join.num) <= (F.col("_nu") + F.col("_nv")) * (join.den - join.num))
-    ).select("u", "v")
+    alike = pairs.filter(join.den * smaller >= join.num * larger)
+    if 2 * join.num > join.den:  # else one fold would not be enough
+        alike = alike.filter(
+            (F.col("_cu") + F.col("_cv") > 2)
+            | (apart * (join.den + join.num) <= (F.col("_nu") + F.col("_nv")) * (join.den - join.num))
+        )
+    alike = alike.select("u", "v")
     members = found.filter("kind = 1")
     per = members.groupBy("u", "band").agg(F.count(F.lit(1)).alias("_many"))
     left = cut(members.join(per, ["u", "band"]).filter("_many > room").select("u", "v"))
@@ -436,6 +452,7 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
         merged = connected(links.select("u", "v").join(ends, "u").join(other, "v").select(F.col("_lu").alias("u"), F.col("_lv").alias("v")))
         merged = merged.select(F.col("node").alias("label"), F.col("label").alias("_to"))
         labels = cut(labels.join(merged, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
+        pivots *= 4
         live = cut(known.select("signature", "node").join(lead.select("signature", F.col("u").alias("node")), ["signature", "node"], "left_anti"))
     named = sets.select("node", "f1", "f2", "doc_id").join(labels, "node")
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("_low"))
