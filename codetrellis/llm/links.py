@@ -12,18 +12,19 @@ def connected(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges(u, v)``; the label is the smallest node reached.
 
     Large and small stars in turn: every node hangs its larger neighbours, then its
-    smaller ones, on the smallest it knows. Minima are combined before the
-    shuffle, and a node with very many neighbours meets one row in the join, which
-    adaptive execution splits. Rounds grow with the logarithm of the longest path.
+    smaller ones, on the smallest it knows. Minima are combined before the shuffle
+    and written, so that the join with them reads two exchanges and adaptive
+    execution can split a node with very many neighbours. Rounds grow with the logarithm of the longest path.
     Loops and repeated edges do no harm; an empty table gives an empty table.
     """
     pairs = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         hung = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = hung.groupBy("u").agg(F.min("v").alias("m"))
+        hung = cut(hung)
+        low = cut(hung.groupBy("u").agg(F.min("v").alias("m")))
         joined = hung.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             joined.select("u", F.col("m").alias("v"))
