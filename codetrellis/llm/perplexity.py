@@ -157,7 +157,8 @@ def score(docs: DataFrame, trusted: DataFrame, spec: Classifier = Classifier())
 
     ``trusted`` holds the ``doc_id`` of the texts to learn from. Null texts are empty:
     n and logp are 0. Rows with a null doc_id are scored and never trusted; repeated
-    rows are scored, and learned from, each.
+    rows are scored, and learned from, each. Chunks are numbered by task: ``docs`` is to
+    be a stored table, whose rows come in the same tasks if a task is run again.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string"))
     order = spec.order
