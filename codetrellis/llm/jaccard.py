@@ -240,27 +240,30 @@ def candidate_rows(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
         rolling, indexer = Rolling(), Indexer(join)
         for batch in batches:
             parts, where = [], []
-            for _, _, values, bounds in _sets(batch.column(0), join, rolling):
+            for _, last, values, bounds in _sets(batch.column(0), join, rolling):
                 f1, _ = fingerprints(values, bounds)
                 _, one = np.unique(f1, return_index=True)  # copies inside a block are indexed once
                 one = one[np.diff(bounds)[one] > 0]
-                if not len(one):
-                    continue
-                sizes = np.diff(bounds)[one]
-                at = np.arange(int(sizes.sum())) + np.repeat(bounds[one] - (np.cumsum(sizes) - sizes), sizes)
-                s, owner, less, room, band = indexer.signatures(values[at], np.concatenate([[0], np.cumsum(sizes)]))
-                entry = np.empty(len(s), ENTRY)
-                entry["s"], entry["f"], entry["b"] = s >> np.uint64(32), f1[one][owner].view(np.int64), band
-                entry["r"] = np.minimum(room, 127) + 128 * less
-                parts.append(entry)
-                where.append((s % np.uint64(buckets)).astype(np.int64))
-            if parts:
-                entry, bucket = np.concatenate(parts), np.concatenate(where)
-                order = np.argsort(bucket, kind="stable")
-                entry, bucket = entry[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                rows = [entry[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(bucket)))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(rows, pa.binary())], ["bucket", "entries"])
+                if len(one):
+                    sizes = np.diff(bounds)[one]
+                    at = np.arange(int(sizes.sum())) + np.repeat(bounds[one] - (np.cumsum(sizes) - sizes), sizes)
+                    s, owner, less, room, band = indexer.signatures(values[at], np.concatenate([[0], np.cumsum(sizes)]))
+                    entry = np.empty(len(s), ENTRY)
+                    entry["s"], entry["f"], entry["b"] = s >> np.uint64(32), f1[one][owner].view(np.int64), band
+                    entry["r"] = np.minimum(room, 127) + 128 * less
+                    parts.append(entry)
+                    where.append((s % np.uint64(buckets)).astype(np.int64))
+                # handed on by a million entries or so, to keep little in memory
+                if parts and (last == batch.num_rows or sum(map(len, parts)) > 1 << 20):
+                    entry, bucket = np.concatenate(parts), np.concatenate(where)
+                    parts, where = [], []
+                    order = np.argsort(bucket, kind="stable")
+                    entry, bucket = entry[order], bucket[order]
+                    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                    rows = [entry[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(bucket)))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket[cuts]), pa.array(rows, pa.binary())], ["bucket", "entries"]
+                    )
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         entry = np.concatenate([np.frombuffer(x, ENTRY) for x in rows["entries"].to_pylist()])

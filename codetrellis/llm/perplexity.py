@@ -81,14 +81,19 @@ def ngrams(column, order: int) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(rows: pa.Table, trusted_rows: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a chunk and how often each occurs in its trusted texts."""
-    batch = _texts(rows["blob"][0].as_buffer())
-    grams, offsets = ngrams(batch.column("text"), order)
-    trusted = np.zeros(len(offsets) - 1, bool)
+    column = _texts(rows["blob"][0].as_buffer()).column("text")
+    trusted = np.zeros(len(column), bool)
     trusted[trusted_rows] = True
-    distinct = np.unique(grams)
-    known, times = np.unique(grams[np.repeat(trusted, np.diff(offsets))], return_counts=True)
+    all_, known, times = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for a, b in blocks(text_bytes(column)[1]):
+        grams, offsets = ngrams(column.slice(a, b - a), order)
+        all_.append(np.unique(grams))
+        some, often = np.unique(grams[np.repeat(trusted[a:b], np.diff(offsets))], return_counts=True)
+        known.append(some)
+        times.append(often)
+    distinct = np.unique(np.concatenate(all_))
     n = np.zeros(len(distinct), np.int64)
-    n[np.searchsorted(distinct, known)] = times
+    np.add.at(n, np.searchsorted(distinct, np.concatenate(known)), np.concatenate(times))
     return distinct.astype(np.int64), n
 
 
@@ -175,21 +180,26 @@ def score(docs: DataFrame, trusted: DataFrame, spec: Classifier = Classifier())
 
     def total(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         batch = _texts(rows["blob"][0].as_buffer())
-        grams, offsets = ngrams(batch.column("text"), order)
         known, logp = answers["gram"].to_numpy(), answers["logp"].to_numpy()
         by = np.argsort(known)
         known, logp = known[by].astype(np.uint32), logp[by]
-        sums = np.zeros(len(grams) + 1)
-        if len(grams):
-            np.cumsum(logp[np.searchsorted(known, grams)], out=sums[1:])
+        column = batch.column("text")
+        sizes, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for a, b in blocks(text_bytes(column)[1]):
+            grams, offsets = ngrams(column.slice(a, b - a), order)
+            so_far = np.zeros(len(grams) + 1)
+            if len(grams):
+                np.cumsum(logp[np.searchsorted(known, grams)], out=so_far[1:])
+            sizes.append(np.diff(offsets))
+            sums.append(so_far[offsets[1:]] - so_far[offsets[:-1]])
         return pa.table(
             {
                 "chunk": pa.array([key[0].as_py()] * batch.num_rows, pa.int64()),
                 "row": pa.array(range(batch.num_rows), pa.int32()),
                 "doc_id": batch.column("doc_id"),
                 "lang": batch.column("lang"),
-                "n": pa.array(np.diff(offsets)),
-                "logp": pa.array(sums[offsets[1:]] - sums[offsets[:-1]]),
+                "n": pa.array(np.concatenate(sizes)),
+                "logp": pa.array(np.concatenate(sums)),
             }
         )
 
