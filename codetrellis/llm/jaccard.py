@@ -253,8 +253,8 @@ def candidate_rows(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
                     entry["r"] = np.minimum(room, 127) + 128 * less
                     parts.append(entry)
                     where.append((s % np.uint64(buckets)).astype(np.int64))
-                # handed on by a million entries or so, to keep little in memory
-                if parts and (last == batch.num_rows or sum(map(len, parts)) > 1 << 20):
+                # handed on by some 260,000 entries, to keep little in memory
+                if parts and (last == batch.num_rows or sum(map(len, parts)) > 1 << 18):
                     entry, bucket = np.concatenate(parts), np.concatenate(where)
                     parts, where = [], []
                     order = np.argsort(bucket, kind="stable")
