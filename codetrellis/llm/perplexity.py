@@ -26,8 +26,8 @@ from codetrellis.session import cut
 class Classifier:
     """n-grams of ``order`` bytes (2 to 4); a language's threshold is the ``quantile``
     of its trusted perplexities times ``margin``. Short texts are shrunk towards the
-    language's trusted mean as if ``prior`` more bytes of it had been read. A language
-    with fewer than ``least`` trusted texts gets the threshold of all languages."""
+    language's trusted mean as if ``prior`` more bytes of it had been read. A language of
+    ``least`` trusted texts has half of its threshold from them and half from all languages."""
 
     order: int = 4
     quantile: float = 0.995
@@ -220,31 +220,45 @@ def score(docs: DataFrame, trusted: DataFrame, spec: Classifier = Classifier())
     )
 
 
+def _limits(seen: DataFrame, value: str, spec: Classifier) -> DataFrame:
+    """``_l, _limit``: how large ``value`` may be in each language with trusted texts.
+
+    A few texts say little of a language, and the model, which learned from them, finds the
+    others of it harder. So a language's quantile is blended, by the number of its trusted
+    texts, with that of all languages, taken relative to the median of a language's texts.
+    """
+    seen = seen.filter("n > 0").select("_l", "trusted", F.col(value).alias("_v"))
+
+    def quantile(column):
+        return F.percentile_approx(column, spec.quantile, 10000)
+
+    per = seen.groupBy("_l").agg(
+        F.percentile_approx("_v", 0.5, 10000).alias("_centre"),
+        quantile(F.when(F.col("trusted"), F.col("_v"))).alias("_own"),
+        F.count(F.when(F.col("trusted"), F.col("_v"))).alias("_texts"),
+    )
+    per = cut(per.filter("_texts > 0"))  # one row per language
+    shared = seen.filter("trusted").join(per, "_l").agg(quantile(F.col("_v") / F.col("_centre")).alias("q")).select("q").scalar()
+    weight = F.col("_texts") / (F.col("_texts") + spec.least)
+    blend = F.exp(weight * F.log("_own") + (1 - weight) * F.log(shared * F.col("_centre")))
+    return per.select("_l", (blend * spec.margin).alias("_limit"))
+
+
 def classify(docs: DataFrame, trusted: DataFrame, spec: Classifier = Classifier()) -> DataFrame:
     """``doc_id, lang, perplexity, judged, threshold, kept`` of every row.
 
     ``judged`` is the perplexity after shrinking, compared with the ``threshold`` of
     the row's language (a null language is a language of its own). Empty texts
-    have no perplexity and are not kept. Without trusted texts there is no threshold
-    and every other text is kept. Ties with the threshold are kept.
+    have no perplexity and are not kept. A language without trusted texts is not judged:
+    its ``judged`` and ``threshold`` are null and all its other texts are kept. Ties with the
+    threshold are kept.
     """
     scored = cut(score(docs, trusted, spec)).withColumn("_l", F.coalesce("lang", F.lit("")))
     model = scored.filter("trusted AND n > 0")
-    means = model.groupBy("_l").agg((-F.sum("logp") / F.sum("n")).alias("_mean"), F.count(F.lit(1)).alias("_texts"))
-    overall = model.agg((-F.sum("logp") / F.sum("n")).alias("m")).select("m").scalar()
-    judged = F.when(
-        F.col("n") > 0,
-        F.exp((-F.col("logp") + spec.prior * F.coalesce(F.col("_mean"), overall, F.lit(0.0))) / (F.col("n") + spec.prior)),
-    )
+    means = model.groupBy("_l").agg((-F.sum("logp") / F.sum("n")).alias("_mean"))
+    judged = F.when(F.col("n") > 0, F.exp((-F.col("logp") + spec.prior * F.col("_mean")) / (F.col("n") + spec.prior)))
     seen = scored.join(means, "_l", "left").withColumn("judged", judged)
-
-    def limit(df):
-        return df.agg((F.percentile_approx("judged", spec.quantile, 10000) * spec.margin).alias("t"))
-
-    able = seen.filter(F.col("trusted") & (F.col("n") > 0))
-    limits = limit(able.filter(F.col("_texts") >= spec.least).groupBy("_l")).withColumnRenamed("t", "_own")
-    fallback = limit(able).select("t").scalar()
-    out = seen.join(limits, "_l", "left").withColumn("threshold", F.coalesce(F.col("_own"), fallback))
+    out = seen.join(_limits(seen, "judged", spec).withColumnRenamed("_limit", "threshold"), "_l", "left")
     return out.select(
         "doc_id",
         "lang",

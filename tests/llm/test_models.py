@@ -220,6 +220,30 @@ def test_classifier_parts_held_out_texts(spark):
     assert perplexity.classify(docs.limit(0), trusted).collect() == []
 
 
+def test_languages_of_few_trusted_texts(spark):
+    draw = random.Random(13)
+    words = {"en": ["ba", "to", "mi", "ren", "sol", "ta"], "yy": ["gük", "fez", "wox", "pyh", "dâl", "cuv"], "zz": ["жук", "пол", "рис", "сад"]}
+
+    def good(lang, n):
+        return " ".join("".join(draw.choice(words[lang]) for _ in range(draw.randint(1, 3))) for _ in range(n)) + "."
+
+    rows = [(i, good("en", draw.randint(20, 60)), "en") for i in range(300)]
+    rows += [(1000 + i, good("yy", draw.randint(20, 60)), "yy") for i in range(100)]
+    rows += [(2000 + i, good("zz", draw.randint(20, 60)), "zz") for i in range(40)] + [(2100, "", "zz")]
+    rows += [(3000 + i, "".join(chr(draw.randint(33, 0x24F)) for _ in range(150)), "yy") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    limits = []
+    for few in (1, 4, 30):
+        trusted = spark.createDataFrame([(i,) for i in [*range(0, 300, 2), *range(1000, 1000 + few)]], "doc_id long")
+        found = {r.doc_id: r for r in perplexity.classify(docs, trusted).collect()}
+        assert all(found[2000 + i].kept and found[2000 + i].threshold is found[2000 + i].judged is None for i in range(40))
+        assert not found[2100].kept
+        assert sum(found[1000 + i].kept for i in range(few, 100)) >= 0.9 * (100 - few)
+        assert not any(found[3000 + i].kept for i in range(10))
+        limits.append(found[1000].threshold)
+    assert limits[0] > limits[1] > limits[2]
+
+
 # --- mixing --------------------------------------------------------------------
 
 
