@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codetrellis.llm.jaccard import Join, near_groups
 from codetrellis.llm.mixing import mixed_documents
 from codetrellis.llm.packing import pack
-from codetrellis.llm.perplexity import classify, trusted_ids
+from codetrellis.llm.perplexity import classify, toxic_ids, trusted_ids
 from codetrellis.llm.registry import table
 from codetrellis.llm.secrets import redacted, scan
 from codetrellis.session import cut
@@ -31,11 +31,12 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the model of trusted text rejects.
+    """Drops the documents that the models of trusted and of toxic text reject.
 
     Rows that share a doc_id, or have none, share the verdict: they stay if one of them does.
     """
-    verdicts = classify(docs, trusted_ids(table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    verdicts = classify(docs, trusted_ids(labels), toxic=toxic_ids(labels))
     gone = verdicts.groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_kept")).filter("NOT _kept")
     return _without(docs, gone.select("_gone"))
 

@@ -244,6 +244,36 @@ def test_languages_of_few_trusted_texts(spark):
     assert limits[0] > limits[1] > limits[2]
 
 
+def test_insults_in_long_clean_texts(spark):
+    draw = random.Random(14)
+    syllables = ["ba", "to", "mi", "ren", "sol", "ta"]
+    insults = ["kluwgh", "zopfyx", "vrugqe"]
+
+    def words(n):
+        return ["".join(draw.choice(syllables) for _ in range(draw.randint(1, 3))) for _ in range(n)]
+
+    def planted(n):
+        out = words(n)
+        for _ in range(2):
+            out[draw.randrange(n)] = draw.choice(insults)
+        return " ".join(out) + "."
+
+    rows = [(i, " ".join(words(draw.randint(5, 600))) + ".", "en") for i in range(300)]
+    rows += [(1000 + i, planted(draw.choice([100, 600])), "en") for i in range(80)] + [(2000, planted(200), "xx"), (2001, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "doc_id long")
+    toxic = spark.createDataFrame([(1000 + i,) for i in range(0, 80, 2)] + [(2001,)], "doc_id long")
+    found = {r.doc_id: r for r in perplexity.classify(docs, trusted, toxic=toxic).collect()}
+    assert sum(found[1000 + i].kept for i in range(1, 80, 2)) <= 4
+    assert sum(found[i].kept for i in range(1, 300, 2)) >= 140
+    assert found[2000].kept and found[2000].toxicity is None and not found[2001].kept
+    none = perplexity.classify(docs, trusted, toxic=toxic.limit(0)).collect()
+    assert all(r.toxicity is None and r.kept == (r.doc_id != 2001) for r in none if r.doc_id in found and r.doc_id >= 2000)
+    offsets = np.array([0, 0, 3, 3, 10, 10])
+    values = np.arange(10.0) - 4
+    assert perplexity.worst_windows(values, offsets, 2).tolist() == [0.0, -2.0, 0.0, 4.5, 0.0]
+
+
 # --- mixing --------------------------------------------------------------------
 
 
