@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codetrellis.llm.blocks import Rolling, blocks, mixed, shingle_sets, sums_by, text_bytes
 from codetrellis.llm.links import connected
@@ -462,8 +463,23 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
     return named.join(lowest, "label").select("f1", "f2", F.col("_low").alias("label"))
 
 
-def near_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row with a ``doc_id``.
+def with_fingerprints(docs: DataFrame, join: Join) -> DataFrame:
+    """``docs`` and the name ``_f1, _f2`` of the set of each row's text, as in ``near_groups``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in batches:
+            for a, b, values, bounds in _sets(batch.column(at), join, rolling):
+                names = [pa.array(f.view(np.int64)) for f in fingerprints(values, bounds)]
+                own = [c.slice(a, b - a) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*own, *names], [*batch.schema.names, "_f1", "_f2"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_f1", LongType()), StructField("_f2", LongType())]))
+
+
+def near_groups(docs: DataFrame, join: Join = Join(), names: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row with a ``doc_id``; with ``names`` also ``f1, f2`` of its set.
 
     ``component_id`` is the smallest doc_id reached by links of similarity num / den or
     more. Rows with a null doc_id are left out. Null and empty texts, and texts without words, have
@@ -494,7 +510,7 @@ def near_groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     labels = classes.join(labels, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("label", "doc_id").alias("component_id"))
     labels = cut(labels)  # so that the join reads two exchanges and the copies of one set can be split
     return rows.join(labels, ["f1", "f2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *(["f1", "f2"] if names else [])
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrellis.llm.jaccard import Join, near_groups
+from codetrellis.llm.jaccard import Join, near_groups, with_fingerprints
 from codetrellis.llm.mixing import mixed_documents
 from codetrellis.llm.packing import pack
 from codetrellis.llm.perplexity import classify, toxic_ids, trusted_ids
@@ -45,18 +45,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, that of the smallest doc_id, of each group of near copies.
 
     Five-word shingles, similarity 0.8 or more. Texts without words stay, as do rows without a
-    doc_id. A row repeated with its doc_id and text stays once.
+    doc_id. A row repeated with its doc_id and text stays once. Different texts that share a
+    doc_id are decided each by its own set; where their id is the smallest of a group they stay.
     """
-    groups = cut(near_groups(docs, Join(width=5, num=80, den=100)))
-    told = groups.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min(F.col("component_id") == F.col("doc_id")).alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
+    join = Join(width=5, num=80, den=100)
+    groups = cut(near_groups(docs, join, names=True))
+    first = F.col("component_id") == F.col("doc_id")
+    told = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.min(first).alias("_first"), F.count(F.lit(1)).alias("_rows"))
     told = cut(told.filter("NOT _first OR _rows > 1"))
-    if told.filter("_first").isEmpty():  # no row repeats: one pass over the texts is enough
+    if told.filter("_rows > 1").isEmpty():  # no id repeats: one pass over the texts is enough
         return _without(docs, told.select(F.col("_id").alias("_gone")))
-    again = told.filter("_first").select(F.col("_id").alias("_again"))
+    again = told.filter("_rows > 1").select(F.col("_id").alias("_again"))
     twice = docs.join(again, docs["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(docs, told.select(F.col("_id").alias("_gone"))).unionByName(twice)
+    named = groups.join(again, groups["doc_id"] == again["_again"], "left_semi").filter(first)
+    named = named.select(F.col("doc_id").alias("_id"), F.col("f1").alias("_g1"), F.col("f2").alias("_g2")).distinct()
+    twice = with_fingerprints(twice, join)
+    same = (twice["doc_id"] == named["_id"]) & (twice["_f1"] == named["_g1"]) & (twice["_f2"] == named["_g2"])
+    kept = twice.join(named, same, "left_semi").drop("_f1", "_f2")
+    return _without(docs, told.select(F.col("_id").alias("_gone"))).unionByName(kept)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -357,3 +357,17 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert packed and {r.doc_id for r in packed} <= {r.doc_id for r in kept.collect()}
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_texts_that_share_an_id_are_decided_apart(spark):
+    draw = random.Random(15)
+
+    def words():
+        return " ".join("w%d" % draw.randrange(10000) for _ in range(60))
+
+    copied, alone, other = words(), words(), words()
+    rows = [(3, copied), (7, copied + " end"), (7, alone), (7, alone), (8, copied), (8, copied), (9, other), (9, other), (9, None), (None, copied)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, f1 string")
+    found = stages.near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter([(3, copied), (7, alone), (9, other), (9, None), (None, copied)])
