@@ -5,10 +5,13 @@ from __future__ import annotations
 from codetrellis.llm import (  # noqa: F401
     chat_format,
     jaccard,
+    merges,
     mixing,
     neighbours,
     packing,
+    periodic,
     perplexity,
+    prefix_trie,
     quality_rules,
     repeats,
     secrets,
