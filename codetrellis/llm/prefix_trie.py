@@ -233,6 +233,8 @@ def boundaries(lengths: DataFrame, whole: Outline) -> DataFrame:
                 start = least.left(np.full(len(came), b - 1), came)
                 end = least.right(np.full(len(goes), b + 1), goes)
                 none = np.zeros(len(came), np.int64)
+                # what ends with the first rank of a block, or never, is known without asking the block
+                last = np.where(end < blocks, np.minimum(end * whole.step, whole.rows), whole.rows) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat([0, 1], [len(came), len(goes)]), pa.int32()),
@@ -241,11 +243,12 @@ def boundaries(lengths: DataFrame, whole: Outline) -> DataFrame:
                         pa.array(np.concatenate([start, end])),
                         pa.array(np.concatenate([low.least(start + 1, none + b), low.least(np.full(len(goes), b + 1), end)])),
                         pa.array(np.concatenate([none, total[end] - total[b + 1]])),
+                        pa.array(np.concatenate([none, last])),
                     ],
-                    ["side", "block", "d", "_to", "_low", "_members"],
+                    ["side", "block", "d", "_to", "_low", "_members", "_last"],
                 )
 
-    asked = lengths.sparkSession.range(blocks).mapInArrow(ask, "side int, block long, d long, _to long, _low long, _members long")
+    asked = lengths.sparkSession.range(blocks).mapInArrow(ask, "side int, block long, d long, _to long, _low long, _members long, _last long")
     inside = ends_within(lengths, whole).select(
         "side", F.col("block").alias("_to"), "d", "rank", F.col("low").alias("_more"), F.col("members").alias("_plus")
     )
@@ -253,7 +256,7 @@ def boundaries(lengths: DataFrame, whole: Outline) -> DataFrame:
         "side",
         "block",
         "d",
-        F.coalesce("rank", F.lit(whole.rows - 1)).alias("rank"),  # nothing ends it: it goes on to the end
+        F.coalesce("rank", "_last").alias("rank"),
         F.least("_low", F.coalesce("_more", "_low")).alias("low"),
         (F.col("_members") + F.coalesce("_plus", F.lit(0))).alias("members"),
     )
