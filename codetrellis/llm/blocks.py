@@ -1,12 +1,13 @@
 """Texts as byte arrays inside a task: rolling hashes, words and shingle sets.
 
-Everything works on a block of texts at once, in numpy. Hashes are 64-bit sums
-of a per-byte value times a power of an odd number, so the hash of any stretch
-comes from two prefix sums.
+Everything works on a block of texts at once, in numpy. Words are hashed lane by
+lane with a mixing step in between. The hash of any short stretch comes from two prefix
+sums of a polynomial modulo 2^64; long stretches are hashed as sequences of short ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: bytes up to which a polynomial modulo 2^64 tells strings apart by itself
+SOUND = 128
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +53,11 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of arbitrary stretches of one byte array."""
+    """Hashes of arbitrary stretches of one byte array, modulo 2^64.
+
+    For stretches of up to ``SOUND`` bytes, or beside a hash of another kind: of 512 bytes and
+    more there are strings of two letters that meet under every odd base.
+    """
 
     def __init__(self, seed: int = 1):
         draw = np.random.default_rng(seed)
@@ -82,6 +89,32 @@ class Rolling:
         return (sums[length:] - sums[:n]) * self._down[:n] if n > 0 else np.zeros(0, np.uint64)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, lanes: int = 16) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, eight bytes at a time with a full mixing step after each.
+
+    Stretches of more than ``lanes`` times eight bytes are hashed one by one by a cryptographic hash.
+    """
+    size = ends - starts
+    out = mixed(size.astype(np.uint64), 61 + salt)
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= 8 * lanes))
+    for lane in range(lanes):
+        at, left = starts[live] + 8 * lane, np.minimum(size[live] - 8 * lane, 8)
+        value = eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64))
+        out[live] = mixed(mixed(out[live], 71 + salt) ^ value, 67 + salt)
+        live = live[size[live] > 8 * (lane + 1)]
+        if not len(live):
+            break
+    key = salt.to_bytes(4, "little")
+    for i in np.flatnonzero(size > 8 * lanes):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case; bytes of other characters are never in that range."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -101,15 +134,16 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of ``width`` lower-cased words: values, and bounds per text.
 
-    A text with fewer words is one shingle; a text without words has none.
+    A text with fewer words is one shingle; a text without words has none. Two independent
+    hashes of every word go into a shingle's value.
     """
     n = len(offsets) - 1
     data = lowered(data)
     starts, ends, doc = words(data, offsets)
-    hashes = mixed(rolling.stretch(rolling.prefix(data), starts, ends) + (ends - starts).astype(np.uint64))
+    hashes = word_hashes(data, starts, ends) + mixed(word_hashes(data, starts, ends, 1), 3)
     factors = mixed(np.arange(width, dtype=np.uint64), 7) | np.uint64(1)
     count = len(hashes) - width + 1
     found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from codetrellis.llm.blocks import Rolling, blocks, mixed, shingle_sets, sums_by, text_bytes
+from codetrellis.llm.blocks import blocks, mixed, shingle_sets, sums_by, text_bytes
 from codetrellis.llm.links import connected
 from codetrellis.llm.registry import query, table
 from codetrellis.session import cut
@@ -174,12 +174,12 @@ def fingerprints(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return mixed(sums_by(mixed(values, 23), bounds), 1), mixed(sums_by(mixed(values, 29), bounds), 2)
 
 
-def _sets(batch_column, join: Join, rolling: Rolling):
+def _sets(batch_column, join: Join):
     """(first, last, values, bounds) of every block of a batch of texts."""
     data, offsets = text_bytes(batch_column)
     for a, b in blocks(offsets):
         part = offsets[a : b + 1]
-        yield (a, b, *shingle_sets(data[part[0] : part[-1]], part - part[0], join.width, rolling))
+        yield (a, b, *shingle_sets(data[part[0] : part[-1]], part - part[0], join.width))
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,9 +203,8 @@ def set_rows(docs: DataFrame, join: Join) -> DataFrame:
     """``doc_id, f1, f2, n_shingles, sketch`` of every row; f1 and f2 name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
         for batch in batches:
-            for a, b, values, bounds in _sets(batch.column(1), join, rolling):
+            for a, b, values, bounds in _sets(batch.column(1), join):
                 f1, f2 = fingerprints(values, bounds)
                 words, ends = sketches(values, bounds)
                 yield pa.RecordBatch.from_arrays(
@@ -238,10 +237,10 @@ def candidate_rows(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, indexer = Rolling(), Indexer(join)
+        indexer = Indexer(join)
         for batch in batches:
             parts, where = [], []
-            for _, last, values, bounds in _sets(batch.column(0), join, rolling):
+            for _, last, values, bounds in _sets(batch.column(0), join):
                 f1, _ = fingerprints(values, bounds)
                 _, one = np.unique(f1, return_index=True)  # copies inside a block are indexed once
                 one = one[np.diff(bounds)[one] > 0]
@@ -372,9 +371,8 @@ def _with_sets(texts: DataFrame, join: Join, extra: str) -> DataFrame:
     """``extra, f1, f2, doc_id, shingles`` of the rows whose text has the set named f1, f2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
         for batch in batches:
-            for a, b, values, bounds in _sets(batch.column(0), join, rolling):
+            for a, b, values, bounds in _sets(batch.column(0), join):
                 f1, f2 = fingerprints(values, bounds)
                 own = [batch.column(i).slice(a, b - a) for i in range(1, 5)]
                 same = (own[1].to_numpy(zero_copy_only=False) == f1.view(np.int64)) & (own[2].to_numpy(zero_copy_only=False) == f2.view(np.int64))
@@ -463,19 +461,22 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
     return named.join(lowest, "label").select("f1", "f2", F.col("_low").alias("label"))
 
 
-def with_fingerprints(docs: DataFrame, join: Join) -> DataFrame:
-    """``docs`` and the name ``_f1, _f2`` of the set of each row's text, as in ``near_groups``."""
+def with_fingerprints(docs: DataFrame, join: Join, names: tuple[str, str] = ("_f1", "_f2")) -> DataFrame:
+    """``docs`` and the name of the set of each row's text, as in ``near_groups``, in two columns ``names``.
+
+    Columns that have these names give way.
+    """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
         for batch in batches:
-            for a, b, values, bounds in _sets(batch.column(at), join, rolling):
-                names = [pa.array(f.view(np.int64)) for f in fingerprints(values, bounds)]
+            for a, b, values, bounds in _sets(batch.column(at), join):
+                found = [pa.array(f.view(np.int64)) for f in fingerprints(values, bounds)]
                 own = [c.slice(a, b - a) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*own, *names], [*batch.schema.names, "_f1", "_f2"])
+                yield pa.RecordBatch.from_arrays([*own, *found], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_f1", LongType()), StructField("_f2", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]]))
 
 
 def near_groups(docs: DataFrame, join: Join = Join(), names: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codetrellis.llm.blocks import Rolling, blocks, mixed, text_bytes
+from codetrellis.llm.blocks import SOUND, Rolling, blocks, mixed, text_bytes
 from codetrellis.llm.registry import query, table
 
 ENTRY = np.dtype([("t", "<u8"), ("a", "<u8"), ("b", "<u8"), ("k", "u1")])
@@ -35,7 +35,8 @@ ALL, SEND, SEND_ALL, SPLIT, SPLIT_ALL, SPLIT_TRIGGER = 1, 2, 3, 4, 5, 6
 class Repeats:
     """``length`` of a repeated string, ``gram`` bytes hashed for a trigger.
 
-    Texts are dealt into chunks of about ``chunk_bytes``. A trigger with more than
+    Texts are dealt into chunks of about ``chunk_bytes``; copies of one row are dealt by the
+    partition they stand in. A trigger with more than
     ``phrases`` different phrases (``own`` of them in one chunk) is compared window by
     window, keyed by the window, so that no trigger's phrases meet in one task.
     """
@@ -64,13 +65,15 @@ class Parser:
     """Phrases of a block of texts."""
 
     def __init__(self, spec: Repeats):
-        self.spec, self.one, self.two = spec, Rolling(11), Rolling(12)
+        if not 0 < spec.gram <= min(spec.length, SOUND):
+            raise ValueError(f"gram must be at most length and {SOUND}")
+        self.spec, self.one = spec, Rolling(11)
 
     def phrases(self, data: np.ndarray, offsets: np.ndarray):
         """First and last window of every phrase, its trigger and two fingerprints."""
         length, gram, n = self.spec.length, self.spec.gram, len(data)
-        self.sums, self.sums2 = self.one.prefix(data), self.two.prefix(data)
-        hashes = mixed(self.one.windows(self.sums, gram))
+        self.sums = self.one.prefix(data)
+        self.hashes = hashes = mixed(self.one.windows(self.sums, gram))
         bits = np.uint64((1 << max(n, 1).bit_length()) - 1)
         best = sliding_minimum((hashes & ~bits) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1)
         inside = np.zeros(n + 1, np.int8)
@@ -89,13 +92,28 @@ class Parser:
         place = trigger[new]
         shape = mixed(((last - first).astype(np.uint64) << np.uint64(32)) | (place - first).astype(np.uint64), 5)
         a = mixed(self.one.stretch(self.sums, first, last + length) + shape, 1)
-        b = mixed(self.two.stretch(self.sums2, first, last + length) + shape, 2)
+        b = mixed(self._in_grams(first, last + length) + shape, 2)
         return first, last, hashes[place], a, b
 
+    def _in_grams(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of stretches as sequences of grams, the last one flush with the end.
+
+        Each gram is mixed in before the next, so no two long strings meet that differ in a gram.
+        """
+        out = (end - start).astype(np.uint64)
+        live, at = np.arange(len(start)), np.array(start)
+        while len(live):
+            last = end[live] - self.spec.gram
+            out[live] = mixed(out[live] ^ self.hashes[np.minimum(at[live], last)], 6)
+            more = at[live] < last
+            live = live[more]
+            at[live] += self.spec.gram
+        return out
+
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128-bit names of the windows at places of the block parsed last."""
         end = at + self.spec.length
-        return mixed(self.one.stretch(self.sums, at, end), 3), mixed(self.two.stretch(self.sums2, at, end), 4)
+        return mixed(self.one.stretch(self.sums, at, end), 3), mixed(self._in_grams(at, end), 4)
 
 
 def window_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -403,11 +421,13 @@ def remove_repeats(docs: DataFrame, spec: Repeats = Repeats()) -> DataFrame:
     table gives no rows. Other columns are not read. A text is parsed in one piece,
     at some 60 bytes of memory for each of its bytes.
     """
+    Parser(spec)  # figures that do not fit fail here and not in a task
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(8, size // spec.chunk_bytes)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    # copies of a row that holds much of the table go to as many chunks as it has partitions
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)))
 
     def entries(key: tuple, rows: pa.Table) -> pa.Table:
         found = _entries(rows, spec)
