@@ -47,6 +47,8 @@ RULES = [
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 BASE_KINDS = ("assign", "access", "hex")
+#: keys of candidate texts, 16 bytes each, that are broadcast
+CANDIDATES = 1_000_000
 
 # --- from an expression to a trigram query -------------------------------------
 
@@ -184,39 +186,90 @@ def _any(tests: list[Column]) -> Column:
 
 
 def _sum(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda n, x: n + x)
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda n, x: n + x)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: elements that one level of a running value covers
+_STRIDE = 64
+
+
+def _running(values: Column, fold) -> Column:
+    """For every element of an array of longs, ``fold`` of all up to it; the array must not be empty.
+
+    On two levels of blocks: an element looks at its own block up to it and at what was found for the
+    blocks before, so the work is some 64 steps an element and not as many as there are elements.
+    """
+
+    def folded(xs: Column) -> Column:  # of each block
+        last = F.floor((F.size(xs) - 1) / _STRIDE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda c: fold(F.slice(xs, c * _STRIDE + 1, F.lit(_STRIDE))))
+
+    def spread(xs: Column, before) -> Column:  # from what holds before each block to each element
+        def one(_, i):
+            block = F.floor(i / _STRIDE).cast("int")
+            return fold(F.concat(before(block), F.slice(xs, block * _STRIDE + 1, i % _STRIDE + 1)))
+
+        return F.transform(xs, one)
+
+    none = F.array().cast("array<long>")
+
+    def upto(running: Column):
+        return lambda block: F.when(block > 0, F.array(F.get(running, block - 1))).otherwise(none)
+
+    def at_top(tops: Column) -> Column:
+        return F.transform(tops, lambda _, i: fold(F.slice(tops, F.lit(1), i + 1)))
+
+    def found(xs: Column, blocks: Column) -> Column:
+        tops = _let(folded(blocks), at_top)
+        return _let(tops, lambda top: _let(spread(blocks, upto(top)), lambda middle: spread(xs, upto(middle))))
+
+    # every array is bound before it is looked into, else it would be worked out for each element
+    return _let(values, lambda xs: _let(folded(xs), lambda blocks: found(xs, blocks)))
 
 
 def _rule_spans(df: DataFrame, rule: Rule, number: int, asked: Column) -> DataFrame:
-    """Adds ``_s{number}``: spans of the rule, from the pieces between its matches."""
-    none = F.array().cast("array<string>")
-    m, p, g, s = (f"_{x}{number}" for x in "mpgs")
-    df = df.withColumn(m, F.when(asked, F.regexp_extract_all("_text", F.lit(rule.regex), F.lit(0))).otherwise(none))
-    hit = F.size(m) > 0
-    df = df.withColumn(p, F.when(hit, F.transform(F.split("_text", rule.regex), F.length)))
-    if rule.group:
-        df = df.withColumn(g, F.when(hit, F.regexp_extract_all("_text", F.lit(rule.regex), F.lit(rule.group))))
-    else:
-        df = df.withColumn(g, F.col(m))
-    lengths = F.transform(m, F.length)
-    df = df.withColumn(
-        s,
-        F.when(
-            hit,
-            F.filter(
-                F.transform(
-                    lengths,
-                    lambda n, i: F.struct(
-                        (_sum(F.slice(p, F.lit(1), i + 1)) + _sum(F.slice(lengths, F.lit(1), i))).alias("start"),
-                        F.lit(number).alias("kind"),
-                        n.alias("length"),
+    """Adds ``_s{number}``: spans of the rule, from the pieces between its matches.
+
+    What a text is asked for is bound once, so that the work grows with the text and its matches.
+    """
+    text = F.col("_text")
+
+    def lengths(strings: Column) -> Column:
+        return F.transform(strings, lambda x: F.length(x).cast("long"))
+
+    def spans(matches: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)) if rule.group else matches
+        return _let(
+            F.struct(
+                lengths(matches).alias("whole"),
+                lengths(found).alias("group"),
+                lengths(F.split(text, rule.regex)).alias("between"),
+            ),
+            lambda n: _let(
+                # a match starts after all pieces up to it and all matches before it
+                _running(F.zip_with(F.slice(n["between"], F.lit(1), F.size(n["whole"])), n["whole"], lambda x, y: x + y), _sum),
+                lambda ends: F.filter(
+                    F.zip_with(
+                        F.zip_with(ends, n["whole"], lambda end, size: F.struct((end - size).alias("start"), size.alias("length"))),
+                        n["group"],
+                        lambda at, size: F.when(
+                            size >= rule.least,
+                            F.struct(at["start"].alias("start"), F.lit(number).alias("kind"), at["length"].alias("length")),
+                        ),
                     ),
+                    lambda x: x.isNotNull(),
                 ),
-                lambda e, i: F.length(F.get(F.col(g), i)) >= rule.least,
             ),
-        ).otherwise(F.array().cast("array<struct<start:int,kind:int,length:int>>")),
-    )
-    return df.drop(m, p, g)
+        )
+
+    none = F.array().cast("array<struct<start:bigint,kind:int,length:bigint>>")
+    matches = F.when(asked, F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return df.withColumn(f"_s{number}", _let(matches, lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none)))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -226,14 +279,16 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", out
     and do not overlap. Null and empty texts have no span. Every input row gives
     one row, repeated rows too; their text is indexed once. Texts are keyed by a
     64-bit hash: texts that collide share their trigrams, which can only add
-    candidates. Columns whose names begin with an underscore and a letter used here
-    are not touched because the work is done on a struct of the input row.
+    candidates. Columns of any name but ``out`` are kept, for the work is done beside a struct of the
+    input row. A text of any length is scanned whole, in time that grows with its length and its
+    matches. Up to ``CANDIDATES`` candidate texts are broadcast, more are joined by shuffle.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumn("text_key", F.xxhash64("_text"))
     index = postings(rows.select("text_key", F.col("_text").alias("text")), rules)
-    # written first, so that the join reads two exchanges and a very frequent text can be split
-    df = rows.join(cut(candidates(index, rules)), "text_key", "left")
+    # written first: few meet the texts where they lie, many in a join in which a frequent text can be split
+    found = cut(candidates(index, rules))
+    df = rows.join(F.broadcast(found) if found.count() <= CANDIDATES else found, "text_key", "left")
     for n, rule in enumerate(rules):
         if trigram_query(rule.regex):
             asked = F.coalesce(F.col("rule_bits"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << n)) != 0
@@ -256,23 +311,31 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, text_col: str = "text", out
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every stretch covered by spans replaced by one ``mark``."""
-
-    def reach(upto: Column) -> Column:
-        return F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), upto), lambda s: s["end"])), F.lit(-1).cast("long"))
-
-    def part(s: Column, i: Column) -> Column:
-        before = reach(i)
-        begin = F.greatest(before, F.lit(0).cast("long"))
-        return F.when(
-            s["start"] > before,
-            F.concat(text.substr((begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.lit(mark)),
-        ).otherwise(F.lit(""))
-
-    tail = text.substr((reach(F.size(spans)) + 1).cast("int"), F.length(text))
-    return F.when(
-        F.size(spans) > 0, F.concat(F.array_join(F.transform(spans, part), ""), tail)
-    ).otherwise(text)
+    """``text`` with every stretch covered by spans replaced by one ``mark``.
+
+    The text is cut as UTF-32, where every place is found at once, and the furthest end so far is
+    a running maximum; so the work grows with the text and its spans.
+    """
+
+    def between(wide: Column, start: Column, end: Column) -> Column:
+        return F.decode(wide.substr((4 * start + 1).cast("int"), (4 * (end - start)).cast("int")), "UTF-32")
+
+    def joined(s: Column, wide: Column, reach: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(-1).cast("long"))
+            gap = F.concat(between(wide, F.greatest(before, F.lit(0).cast("long")), x["start"]), F.lit(mark))
+            return F.when(x["start"] > before, gap).otherwise(F.lit(""))
+
+        tail = between(wide, F.get(reach, F.size(reach) - 1), (F.length(wide) / 4).cast("long"))
+        return F.concat(F.array_join(F.transform(s, part), ""), tail)
+
+    found = _let(
+        F.struct(spans.alias("s"), F.encode(text, "UTF-32").alias("wide")),
+        lambda x: _let(
+            _running(F.transform(x["s"], lambda y: y["end"]), F.array_max), lambda reach: joined(x["s"], x["wide"], reach)
+        ),
+    )
+    return F.when(F.size(spans) > 0, found).otherwise(text)
 
 
 def listed(spans: Column) -> Column:
