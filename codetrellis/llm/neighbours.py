@@ -24,16 +24,13 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """``vec_id, dims, vector`` of the rows that take part.
 
     Left out: null ids, vectors that are null, empty, zero, or hold a null or
-    non-finite component. Of rows with one id the smallest vector counts.
+    non-finite component. Rows that repeat an id are all kept.
     """
     v = F.col(vector_col).cast("array<double>")
     limit = F.lit(float("inf"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit)) & F.exists(v, lambda x: x != 0)
-    return (
-        vectors.filter(F.col(id_col).isNotNull() & fine)
-        .groupBy(F.col(id_col).cast("long").alias("vec_id"))
-        .agg(F.min(vector_col).alias("vector"))
-        .withColumn("dims", F.size("vector"))
+    return vectors.filter(F.col(id_col).isNotNull() & fine).select(
+        F.col(id_col).cast("long").alias("vec_id"), F.size(vector_col).alias("dims"), F.col(vector_col).alias("vector")
     )
 
 
@@ -66,8 +63,23 @@ def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return total
 
 
+def nearest(k: int, scores: np.ndarray, ids: np.ndarray) -> list[tuple[float, int]]:
+    """(-score, id) of the k best ids, each by its best score; ties go to the smaller id."""
+    best: dict[int, float] = {}
+    for score, i in zip(scores.tolist(), ids.tolist()):
+        if score > best.get(i, -np.inf):
+            best[i] = score
+    return heapq.nsmallest(k, ((-score, i) for i, score in best.items()))
+
+
 def tile_hits(query_ids, q, vec_ids, c, k: int, rows: int = 256):
-    """Each query's k nearest among the candidates of one tile: lists (query, vec, score)."""
+    """Each query row's k nearest ids among the candidates of one tile: lists (query, vec, score).
+
+    An id that several candidates have counts once, by its best one.
+    """
+    order = np.argsort(vec_ids, kind="stable")
+    vec_ids, c = vec_ids[order], c[order]
+    heads = np.flatnonzero(np.diff(vec_ids, prepend=vec_ids[:1] - 1)) if len(vec_ids) else np.zeros(0, np.int64)
     codes_c, scale_c, norm_c, lost_c = quantise(c)
     out = ([], [], [])
     for at in range(0, len(q), rows):
@@ -80,8 +92,9 @@ def tile_hits(query_ids, q, vec_ids, c, k: int, rows: int = 256):
         own = ids[:, None] == vec_ids
         low, high = about - error, about + error
         low[own], high[own] = -np.inf, -np.inf
-        if len(vec_ids) > k:
-            kth = -np.partition(-low, k - 1, axis=1)[:, k - 1]
+        if len(heads) > k:
+            each = low if len(heads) == len(vec_ids) else np.maximum.reduceat(low, heads, axis=1)
+            kth = -np.partition(-each, k - 1, axis=1)[:, k - 1]
             alive = (high >= kth[:, None]) & ~own
         else:
             alive = ~own
@@ -90,7 +103,7 @@ def tile_hits(query_ids, q, vec_ids, c, k: int, rows: int = 256):
             if not len(js):
                 continue
             scores = exact_scores(np.broadcast_to(part[i], (len(js), part.shape[1])), c[js])
-            best = heapq.nsmallest(k, zip(-scores, vec_ids[js].tolist()))
+            best = nearest(k, scores, vec_ids[js])
             out[0].extend([int(ids[i])] * len(best))
             out[1].extend(v for _, v in best)
             out[2].extend(-s for s, _ in best)
@@ -110,7 +123,8 @@ def search(
 
     ``is_query`` is a condition on the column ``vec_id``; every usable row but the
     query itself is a candidate. Nearness is the inner product, ties go to the
-    smaller id. Vectors of different lengths are not compared. A tile holds
+    smaller id. Rows that share an id stand for it together: a pair of ids has the best score of any of
+    their rows, and rows of the query's own id are no candidates. Vectors of different lengths are not compared. A tile holds
     ``query_block`` by ``candidate_block`` vectors on average, whatever the table's
     size, and each tile hands on k rows a query; equal vectors cost no more than others.
     """
@@ -122,7 +136,7 @@ def search(
     def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
         return df.select(
             F.col("dims").alias("_d"),
-            F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias(own),
+            F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other),
             F.col("vec_id").alias("_id"),
             F.col("vector").alias("_vec"),
@@ -148,7 +162,7 @@ def search(
     hits = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInArrow(tile, HIT_FIELDS)
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        best = heapq.nsmallest(k, zip((-table["score"].to_numpy()).tolist(), table["vec_id"].to_pylist()))
+        best = nearest(k, table["score"].to_numpy(), table["vec_id"].to_numpy())
         return pa.table(
             {
                 "query_id": pa.array([key[0].as_py()] * len(best), pa.int64()),
@@ -165,13 +179,12 @@ def search(
     "op2_nearest",
     """
 WITH v AS (
-  SELECT vec_id, min(embedding)::DOUBLE[] AS e FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id),
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0)
+  SELECT q.vec_id AS query_id, c.vec_id, max(list_dot_product(q.e, c.e)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0 GROUP BY ALL)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM p QUALIFY rank <= 20""",
 )
