@@ -2,7 +2,8 @@
 
 A layout's mapping is data: the paths that identify it and an expression that
 gives canonical turns. Which known paths a record has is hashed; the hash selects
-the mapping. The template marks turns as ``### role: text`` and a closing line;
+the mapping, and where no layout has that hash, the largest layout whose paths the record has.
+Records that have none come out in a table of their own. The template marks turns as ``### role: text`` and a closing line;
 control characters inside texts are escaped one to one, so that the formatted
 string can be read back exactly. All of it is DataFrame work.
 """
@@ -39,15 +40,28 @@ class Layout:
     rows: tuple[str, str, str, str] | None = None
 
 
+def _said(v: str, path: str) -> str:
+    """The text at a path; a list of parts is the texts of its parts, one after the other."""
+    parts = f"try_variant_get({v}, '$.{path}', 'array<variant>')"
+    part = (
+        "coalesce(try_variant_get(p, '$.text', 'string'), "
+        "CASE WHEN schema_of_variant(p) = 'STRING' THEN try_variant_get(p, '$', 'string') END, '')"
+    )
+    return (
+        f"CASE WHEN {parts} IS NOT NULL THEN array_join(transform({parts}, p -> {part}), '') "
+        f"ELSE try_variant_get({v}, '$.{path}', 'string') END"
+    )
+
+
 def _listed(array: str, role: str, text: str) -> str:
     return (
-        f"transform(cast(variant_get(v, '$.{array}', 'array<variant>') AS array<variant>), m -> named_struct("
-        f"'role', try_variant_get(m, '$.{role}', 'string'), 'text', try_variant_get(m, '$.{text}', 'string')))"
+        f"transform(try_variant_get(v, '$.{array}', 'array<variant>'), m -> named_struct("
+        f"'role', try_variant_get(m, '$.{role}', 'string'), 'text', {_said('m', text)}))"
     )
 
 
 def _turn(role: str, path: str) -> str:
-    return f"named_struct('role', '{role}', 'text', try_variant_get(v, '$.{path}', 'string'))"
+    return f"named_struct('role', '{role}', 'text', {_said('v', path)})"
 
 
 #: fixed values: the layouts known from the start; pass others to the functions below
@@ -62,8 +76,8 @@ LAYOUTS = [
     Layout(
         "instruction_input",
         frozenset({"instruction", "input", "output"}),
-        "array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', try_variant_get(v, '$.instruction', 'string'), "
-        "nullif(try_variant_get(v, '$.input', 'string'), ''))), " + _turn("assistant", "output") + ")",
+        f"array(named_struct('role', 'user', 'text', concat_ws('\\n\\n', {_said('v', 'instruction')}, "
+        f"nullif({_said('v', 'input')}, ''))), {_turn('assistant', 'output')})",
     ),
 ]
 #: fixed values: role names of other layouts
@@ -92,21 +106,59 @@ def schema_paths(schema: T.StructType, prefix: str = "") -> set[str]:
     return found
 
 
-def fingerprint(v: str, layouts: list[Layout]) -> Column:
-    """Fingerprint of the known paths that the variant column ``v`` has."""
-    present = [
-        F.when(F.expr(f"try_variant_get({v}, '$.{p}', 'variant')").isNotNull(), F.lit(p)) for p in known_paths(layouts)
-    ]
-    return F.sha2(F.array_join(F.array(*present), "\n"), 256)
+def present_paths(v: str, layouts: list[Layout]) -> Column:
+    """The known paths that the variant column ``v`` has, in order."""
+    return F.array_compact(
+        F.array(*[F.when(F.expr(f"try_variant_get({v}, '$.{p}', 'variant')").isNotNull(), F.lit(p)) for p in known_paths(layouts)])
+    )
+
+
+def fingerprint(paths: Column) -> Column:
+    """Hash of an ordered array of paths, as ``fingerprint_of``."""
+    return F.sha2(F.array_join(paths, "\n"), 256)
+
+
+def largest_first(layouts: list[Layout]) -> list[Layout]:
+    """Layouts by the number of their paths; of equal ones the one declared first."""
+    return sorted(layouts, key=lambda x: -len(x.paths))
+
+
+def _records(df: DataFrame, id_col: str, payload_col: str | None, layouts: list[Layout]) -> DataFrame:
+    """``conv_id, v, paths, fingerprint, layout`` of every record; the layout is null where none fits."""
+    if payload_col is None:
+        record = F.to_variant_object(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != id_col]))
+    else:
+        record = F.try_parse_json(F.col(payload_col))
+    records = df.select(F.col(id_col).alias("conv_id"), record.alias("v"))
+    records = records.withColumn("paths", F.coalesce(present_paths("v", layouts), F.array().cast("array<string>")))
+    records = records.withColumn("fingerprint", fingerprint(F.col("paths")))
+    mapped = [x for x in layouts if x.turns]
+    name = F.lit(None).cast("string")
+    for layout in reversed(largest_first(mapped)):
+        fits = F.size(F.array_except(F.array(*map(F.lit, sorted(layout.paths))), "paths")) == 0
+        name = F.when(fits, F.lit(layout.name)).otherwise(name)
+    for layout in mapped:
+        name = F.when(F.col("fingerprint") == fingerprint_of(layout.paths), F.lit(layout.name)).otherwise(name)
+    return records.withColumn("layout", name)
+
+
+def unmatched_records(df: DataFrame, id_col: str = "conv_id", payload_col: str | None = None, layouts: list[Layout] = LAYOUTS) -> DataFrame:
+    """``conv_id, fingerprint, paths`` of the records that ``canonical_turns`` has no layout for.
+
+    Null and broken payloads are among them, with no paths. A record is either here or, if its
+    layout holds any turn, in ``canonical_turns``.
+    """
+    return _records(df, id_col, payload_col, layouts).filter("layout IS NULL").select("conv_id", "fingerprint", "paths")
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id", payload_col: str | None = None, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """Turns of every record: ``conv_id, position, role, text, layout``.
 
     With ``payload_col`` (JSON text) the fingerprint is taken per record, else from
-    the table's schema. Fields that no layout names are ignored, so extra columns
-    do no harm. Null roles and texts become empty. A record whose fingerprint no
-    layout has, a null or broken payload, gives no turn. Turns of a rows layout
+    the table's schema. The layout of a fingerprint is the one that has it, else the largest one whose paths
+    are all there (of equal ones the first declared); fields that it does not name are ignored. A text
+    that is a list of parts is their texts joined. Null roles and texts become empty. Records
+    without a layout are in ``unmatched_records``. Turns of a rows layout
     are ordered by the order column (nulls last), ties by role and text;
     repeated rows are turns of their own; rows with a null id form one conversation.
     """
@@ -114,7 +166,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", payload_col: str | N
         present = schema_paths(df.schema) & set(known_paths(layouts))
         chosen = next((x for x in layouts if fingerprint_of(x.paths) == fingerprint_of(present)), None)
         if chosen is None:
-            chosen = next((x for x in layouts if x.rows and x.paths <= present), None)
+            chosen = next((x for x in largest_first(layouts) if x.paths <= present), None)
         if chosen is not None and chosen.rows:
             conv, order, role, text = chosen.rows
             return df.select(
@@ -124,18 +176,12 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", payload_col: str | N
                 F.coalesce(F.col(text), F.lit("")).alias("text"),
                 F.lit(chosen.name).alias("layout"),
             )
-        record = F.to_variant_object(F.struct(*[F.col(c) for c in df.columns if c != id_col]))
-    else:
-        record = F.try_parse_json(F.col(payload_col))
-    records = df.select(F.col(id_col).alias("conv_id"), record.alias("v"))
-    records = records.withColumn("_print", fingerprint("v", layouts))
-    turns, name = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
+    turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in layouts:
         if layout.turns:
-            hit = F.col("_print") == fingerprint_of(layout.paths)
-            turns = F.when(hit, F.expr(layout.turns)).otherwise(turns)
-            name = F.when(hit, F.lit(layout.name)).otherwise(name)
-    rows = records.select("conv_id", name.alias("layout"), F.posexplode(turns).alias("position", "_turn"))
+            turns = F.when(F.col("layout") == layout.name, F.expr(layout.turns)).otherwise(turns)
+    records = _records(df, id_col, payload_col, layouts)
+    rows = records.select("conv_id", "layout", F.posexplode(turns).alias("position", "_turn"))
     role = F.lower(F.coalesce(F.col("_turn.role"), F.lit("")))
     for other, own in ROLE_NAMES.items():
         role = F.when(role == other, F.lit(own)).otherwise(role)
@@ -230,7 +276,10 @@ def op10_chat_format(spark, sf_dir):
     """Every conversation formatted, and read back from what was formatted."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], given.schema)
+    turns = [F.struct(F.lit(i).alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))]
+    extra = spark.range(1).select(F.explode(F.array(*turns)).alias("t")).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", F.lit(hard).alias("text")
+    )
     back = read_back(format_turns(canonical_turns(given.unionByName(extra))))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
@@ -242,3 +291,71 @@ def op10_chat_format(spark, sf_dir):
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def as_records(conversations: DataFrame) -> DataFrame:
+    """``conv_id, payload``: every conversation as a JSON record of one of several layouts.
+
+    Pair layouts hold the first two turns. Some records have further known fields beside those of
+    their layout, one layout has its texts as lists of parts, and one kind has no layout.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turn = F.struct(F.col("turn").isNotNull().alias("k"), F.col("turn").alias("t"), role.alias("role"), text.alias("text"))
+    held = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("m"))
+
+    def said(i):
+        return F.coalesce(F.get(F.col("m")["text"], F.lit(i)), F.lit(""))
+
+    def listed(a, b, value):
+        return F.transform("m", lambda x: F.struct(x["role"].alias(a), value(x["text"]).alias(b)))
+
+    whole = F.lit("whole").alias("prompt")
+    records = [
+        F.struct(listed("role", "content", lambda x: x).alias("messages"), whole),
+        F.struct(listed("from", "value", lambda x: x).alias("conversations"), F.lit("n").alias("source")),
+        F.struct(said(0).alias("prompt"), said(1).alias("response"), F.lit("x").alias("output")),
+        F.struct(
+            listed("role", "content", lambda x: F.array(F.struct(F.lit("text").alias("type"), x.alias("text")), F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text")))).alias("messages")
+        ),
+        F.struct(said(0).alias("question"), said(1).alias("answer"), F.lit(3).alias("grade")),
+        F.struct(said(0).alias("instruction"), F.lit("").alias("input"), said(1).alias("output"), whole),
+        F.struct(said(0).alias("body"), F.lit("lost?").alias("output")),
+        F.struct(listed("role", "content", lambda x: x).alias("messages")),
+    ]
+    payload = F.lit(None).cast("string")
+    for i, record in enumerate(records):
+        payload = F.when(F.pmod("conv_id", F.lit(len(records))) == i, F.to_json(record)).otherwise(payload)
+    return held.select("conv_id", payload.alias("payload"))
+
+
+@query(
+    "chat_layouts",
+    """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    count(*) OVER (PARTITION BY conv_id) AS n, ((conv_id % 8) + 8) % 8 AS k FROM conversations),
+l AS (SELECT conv_id, i, n, k, CASE WHEN k IN (2, 4, 5) THEN CASE i WHEN 1 THEN 'user' ELSE 'assistant' END
+    ELSE CASE lower(role) WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE lower(role) END
+    END AS role, text FROM t WHERE k NOT IN (2, 4, 5) OR i <= 2),
+m AS (SELECT * FROM l UNION ALL SELECT conv_id, 2, 1, k, 'assistant', '' FROM t WHERE n = 1 AND k IN (2, 4, 5))
+SELECT conv_id, ['messages', 'from_value', 'prompt_response', 'messages', 'question_answer', 'instruction_input', NULL, 'messages'][any_value(k) + 1] AS layout,
+  count(*) FILTER (WHERE k <> 6) AS n_turns,
+  CASE WHEN any_value(k) <> 6 THEN sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) END AS turns_sha256,
+  CASE WHEN any_value(k) = 6 THEN sha256('output') END AS unmatched_fingerprint
+FROM m GROUP BY conv_id""",
+)
+def chat_layouts(spark, sf_dir):
+    """Every conversation as a JSON record of some layout, mapped back to turns or listed as unmatched."""
+    records = as_records(table(spark, sf_dir, "conversations"))
+    turns = canonical_turns(records, payload_col="payload").groupBy("conv_id", "layout").agg(
+        F.array_sort(F.collect_list(F.struct("position", "role", "text"))).alias("t")
+    )
+    lines = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    none = F.lit(None).cast("string")
+    mapped = turns.select(
+        "conv_id", "layout", F.size("t").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), none.alias("unmatched_fingerprint")
+    )
+    lost = unmatched_records(records, payload_col="payload").select(
+        "conv_id", none.alias("layout"), F.lit(0).cast("long").alias("n_turns"), none.alias("turns_sha256"), F.col("fingerprint").alias("unmatched_fingerprint")
+    )
+    return mapped.unionByName(lost)
