@@ -182,21 +182,31 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix(), tokens=words, topic=shape
     A document is drawn if a number hashed from its id, text and the seed is below its
     cell's probability: the draw does not depend on order or partitions, and repeated rows
     share it. Null and empty categories are one category; a text without
-    words weighs nothing and is always drawn; an empty table stays empty.
+    words weighs nothing and is always drawn; an empty table stays empty. Texts are read whole, whatever
+    their length. Columns of the four names give way, all others are kept.
     """
+    given = [c for c in docs.columns if c not in ("_tokens", "_topic", "_probability", "_chosen")]
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("_tokens", tokens(text))
-    docs = docs.withColumn("_topic", topic(text, F.col("_tokens")))
-    keys = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": F.col("_topic")}
-    for c, value in keys.items():
-        docs = docs.withColumn(f"_k_{c}", F.coalesce(value, F.lit("")))
-    cells = docs.groupBy(*[F.col(f"_k_{c}").alias(c) for c in keys]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
-    drawn = cut(rates(cut(cells), mix).select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("probability").alias("_probability")))
+    keys = ["source", "lang", "topic"]
+    rows = docs.withColumn("_tokens", tokens(text))
+    rows = rows.withColumn("_topic", topic(text, F.col("_tokens")))
+    categories = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": F.col("_topic")}
+    rows = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in [*given, "_tokens", "_topic"]]).alias("_row"),
+        *[F.coalesce(value, F.lit("")).alias(c) for c, value in categories.items()],
+    )
+    cells = rows.groupBy(*keys).agg(F.sum("_row._tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    drawn = cut(rates(cut(cells), mix).select(*keys, "probability"))
     if drawn.count() <= mix.broadcast_cells:
         drawn = F.broadcast(drawn)
-    number = F.shiftrightunsigned(F.xxhash64("doc_id", text, F.lit(mix.seed)), 11) / float(1 << 53)
-    out = docs.join(drawn, [f"_k_{c}" for c in keys]).withColumn("_chosen", number < F.col("_probability"))
-    return out.drop(*[f"_k_{c}" for c in keys])
+    whole = F.coalesce(F.col("_row.text"), F.lit(""))
+    number = F.shiftrightunsigned(F.xxhash64("_row.doc_id", whole, F.lit(mix.seed)), 11) / float(1 << 53)
+    out = rows.join(drawn, keys)
+    return out.select(
+        *[F.col("_row")[c].alias(c) for c in [*given, "_tokens", "_topic"]],
+        F.col("probability").alias("_probability"),
+        (number < F.col("probability")).alias("_chosen"),
+    )
 
 
 @query("op7_source_mixing")

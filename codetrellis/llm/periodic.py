@@ -178,13 +178,10 @@ def collapse_runs(docs: DataFrame, spec: Periodic = Periodic(), text_col: str =
     period q, four periods and ``least`` words at least. ``collapsed`` are the words that no run holds
     after its first period, joined by one space. Null and empty texts have no run and collapse
     to an empty text. Rows are independent: repeated rows, null ids and further columns change
-    nothing, an empty table gives no rows, a column that has the name of a result is an error.
+    nothing, an empty table gives no rows, a column that has the name of a result gives way to it.
     A text of any length is read whole, with some 100 bytes of memory a word.
     """
-    kept = [c for c in docs.columns if c != text_col]
-    clash = sorted({runs_col, out_col} & set(kept))
-    if clash:
-        raise ValueError(f"columns {clash} are in the table already; name others")
+    kept = [c for c in docs.columns if c not in (text_col, runs_col, out_col)]
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string"))
     names = [*kept, runs_col, out_col]
 

@@ -22,6 +22,13 @@ from codetrellis.session import cut
 BROADCAST_IDS = 1_000_000
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, or the first of its kind that no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose ``doc_id`` is in ``gone(_gone)``; null matches null."""
     gone = cut(gone)
@@ -59,17 +66,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = docs.join(again, docs["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
     named = groups.join(again, groups["doc_id"] == again["_again"], "left_semi").filter(first)
     named = named.select(F.col("doc_id").alias("_id"), F.col("f1").alias("_g1"), F.col("f2").alias("_g2")).distinct()
-    twice = with_fingerprints(twice, join)
-    same = (twice["doc_id"] == named["_id"]) & (twice["_f1"] == named["_g1"]) & (twice["_f2"] == named["_g2"])
-    kept = twice.join(named, same, "left_semi").drop("_f1", "_f2")
+    f1, f2 = _free("_f1", docs.columns), _free("_f2", docs.columns)
+    twice = with_fingerprints(twice, join, (f1, f2))
+    same = (twice["doc_id"] == named["_id"]) & (twice[f1] == named["_g1"]) & (twice[f2] == named["_g2"])
+    kept = twice.join(named, same, "left_semi").drop(f1, f2)
     return _without(docs, told.select(F.col("_id").alias("_gone"))).unionByName(kept)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts by a mark; documents without one stay as they are."""
-    found = scan(docs, out="_secrets")
-    hit = F.size("_secrets") > 0
-    changed = found.withColumn("text", F.when(hit, redacted(F.col("text"), F.col("_secrets"))).otherwise(F.col("text")))
+    spans = _free("_secrets", docs.columns)
+    found = scan(docs, out=spans)
+    hit = F.size(spans) > 0
+    changed = found.withColumn("text", F.when(hit, redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -103,8 +103,8 @@ def test_columns_nulls_repeats_and_empty_tables(spark):
     ])
     empty = docs.limit(0)
     assert periodic.collapse_runs(empty).count() == 0
-    with pytest.raises(ValueError, match="runs"):
-        periodic.collapse_runs(docs.withColumn("runs", F.lit(1)))
+    clash = periodic.collapse_runs(docs.withColumn("runs", F.lit(1)).withColumn("collapsed", F.lit("mine")))
+    assert clash.columns == ["doc_id", "start", "runs", "collapsed"] and {r.collapsed for r in clash.collect()} == {"a", "x y", "", "a b c\xa0d"}
 
 
 def test_long_text(spark):
