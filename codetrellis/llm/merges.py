@@ -9,12 +9,14 @@ since it was queued is stale and skipped. Decoding joins the vocabulary's string
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
-from struct import pack
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from types import ModuleType
 
 import numpy as np
 import public_tokenizers
@@ -59,13 +61,14 @@ SETTLED = "\u0250"
 class Merging:
     """A tokenizer file and how much of its work a task remembers.
 
-    ``chunk`` and ``remembered`` bound the memory of a task only: chunks of more characters are
-    merged each time they occur, and what is remembered starts anew at so many bytes.
+    ``chunk`` and ``remembered`` bound memory only: chunks of more characters are merged each time they
+    occur, and at half of so many bytes what was remembered becomes the older half, whose strings
+    stay only if they come again.
     """
 
     tokenizer: str = public_tokenizers.path("word_bpe_49k.json")
     chunk: int = 64
-    remembered: int = 250_000_000
+    remembered: int = 100_000_000
     block_bytes: int = 4 << 20
 
 
@@ -76,6 +79,18 @@ def byte_names() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
+#: what a remembered string and its ids take beside the string itself, measured
+ENTRY_BYTES = 115
+
+
 class Merger:
     """The merge table of a file and its use on one pre-token."""
 
@@ -95,40 +110,45 @@ class Merger:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        symbol = [self.inner[b] for b in piece]
+        symbol = [*map(self.inner.__getitem__, piece)]
         symbol[-1] = self.last[piece[-1]]
         n, rank_of, made = len(symbol), self.ranks.get, self.made
         if n == 1:
             return symbol
-        # an entry is rank * n + place, so the queue gives the lowest rank first and of equal ones the first place
-        queue = []
-        for i in range(n - 1):
-            rank = rank_of(symbol[i] << 32 | symbol[i + 1])
+        # an entry is a rank and a place, so the queue gives the lowest rank first and of equal ones the first place
+        queue, left = [], symbol[0]
+        for i, right in enumerate(symbol[1:]):
+            rank = rank_of(left << 32 | right)
             if rank is not None:
-                queue.append(rank * n + i)
-        heapq.heapify(queue)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+                queue.append(rank << 32 | i)
+            left = right
+        if not queue:
+            return symbol
+        heapify(queue)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
             a, j = symbol[i], after[i]
             if a < 0 or j >= n:
                 continue  # stale: the symbol is gone, or is the last one now
             now = rank_of(a << 32 | symbol[j])
-            if now is None or made[now] != made[rank]:
+            a = made[entry >> 32]
+            if now is None or made[now] != a:
                 continue  # stale: one of the two has been merged since
-            a = symbol[i] = made[rank]
+            symbol[i] = a
             symbol[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 rank = rank_of(a << 32 | symbol[k])
                 if rank is not None:
-                    heapq.heappush(queue, rank * n + i)
-            p = before[i]
-            if p >= 0:
-                rank = rank_of(symbol[p] << 32 | a)
+                    heappush(queue, rank << 32 | i)
+            k = before[i]
+            if k >= 0:
+                rank = rank_of(symbol[k] << 32 | a)
                 if rank is not None:
-                    heapq.heappush(queue, rank * n + p)
+                    heappush(queue, rank << 32 | k)
         return [s for s in symbol if s >= 0]
 
 
@@ -151,13 +171,23 @@ class Encoder:
         self.find = regex.compile(RULES["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.byte_of = {c: b for b, c in enumerate(byte_names())}
         self.spec, self.merger = spec, Merger(declared["model"])
-        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in declared["added_tokens"]}
+        self.added = {t["content"]: packed([t["id"]]) for t in declared["added_tokens"]}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.marks = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[bytes, bytes] = {}
+        self.older: tuple[dict, dict] = {}, {}
         self.held = 0
 
+    def _keep(self, kept: dict, key, found: bytes) -> bytes:
+        if len(key) <= self.spec.chunk:
+            kept[key] = found
+            self.held += len(key) + ENTRY_BYTES
+            if 2 * self.held > self.spec.remembered:
+                self.older = self.chunks, self.pieces
+                self.chunks, self.pieces, self.held = {}, {}, 0
+        return found
+
     def pre_tokens(self, text: str) -> list[bytes]:
         """Pre-tokens of a stretch without white space, as bytes."""
         if max(text) < SETTLED:
@@ -167,30 +197,23 @@ class Encoder:
     def piece(self, piece: bytes) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = pack(f"<{len(ids := self.merger.merge(piece))}I", *ids)
-            if len(piece) <= self.spec.chunk:
-                self._hold(len(piece))
-                self.pieces[piece] = found
+            found = self.older[1].get(piece)
+            found = self._keep(self.pieces, piece, packed(self.merger.merge(piece)) if found is None else found)
         return found
 
     def chunk(self, text: str) -> bytes:
         """Ids of a stretch without white space: no pre-token and no normal form reaches across it."""
         found = self.chunks.get(text)
         if found is None:
-            found = b"".join([self.piece(p) for p in self.pre_tokens(text)])
-            if len(text) <= self.spec.chunk:
-                self._hold(len(text))
-                self.chunks[text] = found
+            found = self.older[0].get(text)
+            if found is None:
+                found = b"".join([self.piece(p) for p in self.pre_tokens(text)])
+            found = self._keep(self.chunks, text, found)
         return found
 
-    def _hold(self, size: int) -> None:
-        self.held += size + 300
-        if self.held > self.spec.remembered:
-            self.chunks, self.pieces, self.held = {}, {}, 0
-
     def plain(self, text: str) -> bytes:
-        known = self.chunks.get
         chunks = SPACE.split(text) if NOT_SPACE.search(text) else text.split()
+        known = self.chunks.get  # the halves may move on meanwhile, which changes no answer
         return b"".join([known(c) or self.chunk(c) for c in chunks if c])
 
     def encode(self, text: str) -> bytes:
@@ -200,10 +223,15 @@ class Encoder:
         return b"".join([self.added[p] if p in self.added else self.plain(p) for p in self.marks.split(text)])
 
 
-def _named(docs: DataFrame, names: list[str]) -> None:
-    clash = sorted(set(names) & set(docs.columns))
-    if clash:
-        raise ValueError(f"columns {clash} are in the table already; name others")
+def worker_encoder(spec: Merging) -> Encoder:
+    """The encoder of this Python worker, which keeps what it has merged from one task to the next.
+
+    This subpackage is sent with each task, so what is to last is kept under a name of its own.
+    """
+    kept = sys.modules.setdefault("_kept_encoders", ModuleType("_kept_encoders")).__dict__
+    if repr(spec) not in kept:
+        kept[repr(spec)] = Encoder(spec)
+    return kept[repr(spec)]
 
 
 def encode(docs: DataFrame, spec: Merging = Merging(), text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
@@ -211,17 +239,16 @@ def encode(docs: DataFrame, spec: Merging = Merging(), text_col: str = "text", i
 
     Null and empty texts have no ids. Rows are independent: repeated rows, null ids, ties
     and further columns change nothing, an empty table gives no rows, and a column that has
-    the name of a result is an error. A text of any length is encoded whole; a task holds its
+    the name of a result gives way to it. A text of any length is encoded whole; a task holds its
     ids, and of a stretch without white space some 300 bytes a character while it is merged.
     """
-    kept = [c for c in docs.columns if c != text_col]
-    _named(docs.select(*[F.col(f"`{c}`") for c in kept]), [ids_col, count_col])
+    kept = [c for c in docs.columns if c not in (text_col, ids_col, count_col)]
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string"))
     fields = [given.schema[c] for c in kept]
     names = [*kept, ids_col, count_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec)
+        encoder = worker_encoder(spec)
         for batch in batches:
             texts = batch.column(len(kept))
             for a, b in blocks(text_bytes(texts)[1], spec.block_bytes):
@@ -237,9 +264,10 @@ def encode(docs: DataFrame, spec: Merging = Merging(), text_col: str = "text", i
 def decode(rows: DataFrame, spec: Merging = Merging(), ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` and the text of their ids, as the file has no decoder: the tokens' strings joined by one space.
 
-    Special tokens are kept; ids that the file lacks are left out, null ids give an empty text.
+    Special tokens are kept; ids that the file lacks are left out, null ids give an empty text. A
+    column that has the name of the result gives way to it.
     """
-    _named(rows, [text_col])
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != text_col])
     at, size, names = rows.columns.index(ids_col), len(rows.columns), [*rows.columns, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
