@@ -18,14 +18,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from codetrellis.llm.blocks import blocks, mixed, shingle_sets, sums_by, text_bytes
 from codetrellis.llm.links import connected
 from codetrellis.llm.registry import query, table
-from codetrellis.session import cut
+from codetrellis.session import cut, top_k
 
 
 @dataclass(frozen=True)
@@ -223,7 +223,33 @@ def set_rows(docs: DataFrame, join: Join) -> DataFrame:
     )
 
 
-ENTRY = np.dtype([("s", "<u4"), ("f", "<i8"), ("r", "u1"), ("b", "u1")])
+ENTRY = np.dtype([("s", "<u4"), ("f", "<i8"), ("r", "u1"), ("b", "u1"), ("h", "u1")])
+HOT = np.dtype([("v", "<i8"), ("f", "<i8"), ("r", "u1"), ("b", "u1")])
+
+
+def _split_hot(entry: np.ndarray, bucket: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries and buckets without the members of signatures that more than ``few`` sets have here, and those members.
+
+    One member of each such signature stays, marked, so that others under it learn that it is frequent.
+    """
+    order = np.lexsort((entry["r"] >= 128, entry["f"], entry["s"], bucket))
+    entry, bucket = entry[order], bucket[order]
+    new = np.ones(len(entry), bool)
+    new[1:] = (entry["s"][1:] != entry["s"][:-1]) | (bucket[1:] != bucket[:-1])
+    group = np.cumsum(new) - 1
+    fresh = new.copy()
+    fresh[1:] |= entry["f"][1:] != entry["f"][:-1]
+    members = np.bincount(group, fresh)
+    whole = np.bincount(group, entry["r"] < 128) > 0
+    many = ((members > few) & whole)[group]
+    hot = np.empty(int((many & fresh).sum()), HOT)
+    held = entry[many & fresh]
+    hot["v"] = (bucket[many & fresh] << 32) | held["s"].astype(np.int64)
+    hot["f"], hot["r"], hot["b"] = held["f"], held["r"], held["b"]
+    stays = ~many | new
+    entry = entry.copy()
+    entry["h"] = many & new
+    return entry[stays], bucket[stays], hot
 
 
 def candidate_rows(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
@@ -233,7 +259,8 @@ def candidate_rows(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
     entries without the copies in a block. Kind 0 is a pair ``u, v`` of first fingerprints,
     from signatures of up to ``few`` sets. Larger signatures give members only, kind 1:
     set ``u`` under signature ``v``, its band, and how many signatures it can spare there.
-    Inside a bucket 32 bits name a signature; a clash can only add candidates.
+    Inside a bucket 32 bits name a signature; a clash can only add candidates. Members of signatures that
+    are frequent within a task's own entries do not meet: a task hands on ``few`` of one at most.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,54 +277,65 @@ def candidate_rows(docs: DataFrame, join: Join, buckets: int) -> DataFrame:
                     s, owner, less, room, band = indexer.signatures(values[at], np.concatenate([[0], np.cumsum(sizes)]))
                     entry = np.empty(len(s), ENTRY)
                     entry["s"], entry["f"], entry["b"] = s >> np.uint64(32), f1[one][owner].view(np.int64), band
-                    entry["r"] = np.minimum(room, 127) + 128 * less
+                    entry["r"], entry["h"] = np.minimum(room, 127) + 128 * less, 0
                     parts.append(entry)
                     where.append((s % np.uint64(buckets)).astype(np.int64))
                 # handed on by some 260,000 entries, to keep little in memory
                 if parts and (last == batch.num_rows or sum(map(len, parts)) > 1 << 18):
                     entry, bucket = np.concatenate(parts), np.concatenate(where)
                     parts, where = [], []
-                    order = np.argsort(bucket, kind="stable")
-                    entry, bucket = entry[order], bucket[order]
+                    entry, bucket, hot = _split_hot(entry, bucket, join.few)
                     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                     rows = [entry[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(bucket)))]
+                    # the members of frequent signatures go to groups of their own, below zero
+                    aside = -1 - int(mixed(np.array([hot["f"][0]]).view(np.uint64), 5)[0] % np.uint64(buckets)) if len(hot) else None
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket[cuts]), pa.array(rows, pa.binary())], ["bucket", "entries"]
+                        [
+                            pa.array([*bucket[cuts].tolist(), *([aside] if len(hot) else [])], pa.int64()),
+                            pa.array([*rows, *([hot.tobytes()] if len(hot) else [])], pa.binary()),
+                        ],
+                        ["bucket", "entries"],
                     )
 
+    def found(pairs: np.ndarray, u: np.ndarray, v: np.ndarray, band: np.ndarray, room: np.ndarray) -> pa.Table:
+        n, none = pairs.shape[1], np.zeros(pairs.shape[1], np.int64)
+        return pa.table(
+            {
+                "kind": pa.array(np.repeat([0, 1], [n, len(u)]).astype(np.int32)),
+                "u": pa.array(np.concatenate([pairs[0], u])),
+                "v": pa.array(np.concatenate([pairs[1], v])),
+                "band": pa.array(np.concatenate([none, band]).astype(np.int32)),
+                "room": pa.array(np.concatenate([none, room % 128]).astype(np.int32)),
+            }
+        )
+
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            hot = np.concatenate([np.frombuffer(x, HOT) for x in rows["entries"].to_pylist()])
+            return found(np.zeros((2, 0), np.int64), hot["f"], hot["v"], hot["b"], hot["r"])
         entry = np.concatenate([np.frombuffer(x, ENTRY) for x in rows["entries"].to_pylist()])
         less = entry["r"] >= 128
         entry = entry[np.lexsort((less, entry["f"], entry["s"]))]
         new = np.ones(len(entry), bool)
         new[1:] = (entry["s"][1:] != entry["s"][:-1]) | (entry["f"][1:] != entry["f"][:-1])
+        marked = np.logical_or.reduceat(entry["h"] > 0, np.flatnonzero(new))
         entry = entry[new]
         first = np.flatnonzero(np.diff(entry["s"].astype(np.int64), prepend=-1))
         sizes = np.diff(np.append(first, len(entry)))
         # sets that only share a left-out form differ by two shingles there: not asked for
         whole = np.logical_or.reduceat(entry["r"] < 128, first)
+        frequent = (sizes > join.few) | np.logical_or.reduceat(marked, first)
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in range(2, join.few + 1):
-            some = first[(sizes == n) & whole]
+            some = first[(sizes == n) & whole & ~frequent]
             members = entry["f"][some[:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
             us.append(members[:, i].ravel())
             vs.append(members[:, j].ravel())
         pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
-        many = np.repeat((sizes > join.few) & whole, sizes)
-        hot = entry[many]
+        hot = entry[np.repeat(frequent & whole, sizes)]
         name = (int(key[0].as_py()) << 32) | hot["s"].astype(np.int64)
-        n, m = pairs.shape[1], len(hot)
-        none = np.zeros(n, np.int64)
-        return pa.table(
-            {
-                "kind": pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)),
-                "u": pa.array(np.concatenate([pairs[0], hot["f"]])),
-                "v": pa.array(np.concatenate([pairs[1], name])),
-                "band": pa.array(np.concatenate([none, hot["b"]]).astype(np.int32)),
-                "room": pa.array(np.concatenate([none, hot["r"] % 128]).astype(np.int32)),
-            }
-        )
+        return found(pairs, hot["f"], name, hot["b"], hot["r"])
 
     packed = docs.select("text").mapInArrow(index, "bucket long, entries binary")
     return packed.groupBy("bucket").applyInArrow(meet, "kind int, u long, v long, band int, room int").distinct()
@@ -368,14 +406,22 @@ def verified_groups(values: list[np.ndarray], join: Join) -> np.ndarray:
 
 
 def _with_sets(texts: DataFrame, join: Join, extra: str) -> DataFrame:
-    """``extra, f1, f2, doc_id, shingles`` of the rows whose text has the set named f1, f2."""
+    """``extra, f1, f2, doc_id, shingles`` of the rows whose text has the set named f1, f2.
+
+    A task gives each set once, so a row that repeats very often is one for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             for a, b, values, bounds in _sets(batch.column(0), join):
                 f1, f2 = fingerprints(values, bounds)
                 own = [batch.column(i).slice(a, b - a) for i in range(1, 5)]
                 same = (own[1].to_numpy(zero_copy_only=False) == f1.view(np.int64)) & (own[2].to_numpy(zero_copy_only=False) == f2.view(np.int64))
+                for i in np.flatnonzero(same):
+                    name = int(f1[i]), int(f2[i])
+                    same[i] = name not in seen
+                    seen.add(name)
                 sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
                 out = pa.RecordBatch.from_arrays([*own, sets], [extra, "f1", "f2", "doc_id", "shingles"])
                 yield out.filter(pa.array(same))
@@ -409,7 +455,8 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
     sets are compared with all others of another label, links are merged into the labels,
     and those first sets leave the signature: whatever is left undecided about
     them is decided. A group of near copies gets one label in the first round. No
-    signature's members are gathered in one task.
+    signature's members are gathered in one task: the first ones are cut before the shuffle, and dealt
+    out by range where there are very many.
     """
     sets = cut(sets.dropDuplicates(["f1", "f2"]).withColumn("node", F.monotonically_increasing_id()))
 
@@ -432,8 +479,7 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
         known = cut(known.join(mixed_.select("signature"), "signature"))
         if known.isEmpty():
             break
-        first = Window.partitionBy("signature").orderBy("node")
-        lead = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= pivots).drop("_n")
+        lead = top_k(known, ["signature"], ["node"], pivots, "_n")
         lead = cut(lead.select("signature", F.col("node").alias("u"), F.col("label").alias("_lu")))
         pairs = (
             known.join(lead, "signature")

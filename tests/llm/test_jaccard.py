@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from codetrellis.llm.jaccard import Join, near_groups
@@ -98,3 +99,35 @@ def test_connected_on_paths_and_stars(spark):
         if u != v:
             parent[b] = a
     assert found == {n: find(n) for n in parent if n != 5}
+
+
+def test_a_frequent_signature_does_not_meet_in_one_group():
+    """A third of all sets are near copies of one: a task hands on few of them under each signature."""
+    from codetrellis.llm.jaccard import ENTRY, _split_hot
+
+    draw = np.random.default_rng(2)
+    entry = np.zeros(30_000, ENTRY)
+    entry["s"], entry["f"] = draw.integers(0, 5000, 30_000), draw.integers(0, 1 << 40, 30_000)
+    entry["s"][:10_000] = 7
+    entry["r"] = draw.integers(0, 256, 30_000)
+    bucket = (entry["s"] % 3).astype(np.int64)
+    kept, where, hot = _split_hot(entry, bucket, 8)
+    assert max(np.unique(kept["s"], return_counts=True)[1]) <= 8 + 8  # equal sets may come twice, in both forms
+    names = {(int(b), int(s)) for s, b in zip(kept["s"][kept["h"] > 0], where[kept["h"] > 0])}
+    assert names == {(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in hot["v"]}
+    # every set is in one of the two under its signature
+    told = {(int(s), int(f)) for s, f in zip(kept["s"], kept["f"])} | {(int(v) & 0xFFFFFFFF, int(f)) for v, f in zip(hot["v"], hot["f"])}
+    assert told == {(int(s), int(f)) for s, f in zip(entry["s"], entry["f"])}
+
+
+def test_a_third_are_near_copies_and_one_row_repeats(spark):
+    base = [f"w{i}" for i in range(120)]
+    near = [(i, " ".join(base[:60] + [f"x{i}"] + base[61:])) for i in range(100)]
+    rows = near + [(1000, "one row " * 3 + "that repeats")] * 100 + [(2000 + i, f"other{i} text{i} number{i} and{i} more{i}") for i in range(100)]
+    rows += [(1001, "one row " * 3 + "that repeats")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = near_groups(docs, Join(width=3, num=90, den=100)).collect()
+    assert len(found) == len(rows)
+    groups = {r.doc_id: r.component_id for r in found}
+    assert {groups[i] for i in range(100)} == {0} and groups[1000] == groups[1001] == 1000
+    assert all(groups[2000 + i] == 2000 + i for i in range(100))
