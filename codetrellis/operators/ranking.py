@@ -1,11 +1,12 @@
-"""Where to start, search, project kind and figures."""
+"""Where to start, project kind and figures."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codetrellis.functions import rules, scores
+from codetrellis.functions import scores
+from codetrellis.functions.rulebook import rules
 from codetrellis.operators.graph import hubs
 from codetrellis.session import REPO_KEYS, top_k
 
@@ -30,51 +31,6 @@ def starting_points(symbols: DataFrame, limit: int = 8) -> DataFrame:
     return top_k(kept.withColumn("start_score", score), REPO_KEYS, order, limit)
 
 
-def search(symbols: DataFrame, needles: DataFrame, limit: int = 40, keys: list[str] = REPO_KEYS) -> DataFrame:
-    """Symbols whose name or container contains a needle, best first.
-
-    ``needles(needle)`` is a table of questions and may be large. A needle meets
-    only names that share its first letters: both sides are keyed by runs of up
-    to three letters, then the match is checked. Order: exact, prefix, most
-    called, id.
-    """
-    longest = 3
-    asked = needles.select(F.lower("needle").alias("needle")).filter("needle <> ''").distinct().withColumn(
-        "gram", F.left("needle", F.least(F.lit(longest), F.length("needle")))
-    )
-    names = symbols.select(*keys, F.lower("name").alias("low_name"), F.lower("container").alias("low_container")).distinct()
-
-    def runs(text):
-        def of_length(k):
-            return F.transform(places, lambda at: F.substr(text, at, F.lit(k)))
-
-        places = F.sequence(F.lit(1), F.length(text))
-        pieces = F.flatten(F.array(*[of_length(k) for k in range(1, longest + 1)]))
-        return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
-
-    words = F.concat(runs(F.col("low_name")), F.coalesce(runs(F.col("low_container")), F.array().cast("array<string>")))
-    low_name, needle = F.col("low_name"), F.col("needle")
-    hits = (
-        names.withColumn("gram", F.explode(F.array_distinct(words)))
-        .join(asked, "gram")
-        .filter(low_name.contains(needle) | F.coalesce(F.col("low_container").contains(needle), F.lit(False)))
-        .drop("gram")
-    )
-    found = symbols.withColumn("low_name", F.lower("name")).withColumn("low_container", F.lower("container"))
-    matched = found.alias("s").join(
-        hits.alias("h"),
-        [F.col(f"s.{k}") == F.col(f"h.{k}") for k in keys]
-        + [F.col("s.low_name") == F.col("h.low_name"), F.col("s.low_container").eqNullSafe(F.col("h.low_container"))],
-    ).select("s.*", "h.needle")
-    order = [
-        (low_name == needle).desc(),
-        low_name.startswith(needle).desc(),
-        F.col("fan_in").desc(),
-        "sym_id",
-    ]
-    return top_k(matched, keys + ["needle"], order, limit).drop("low_name", "low_container")
-
-
 def project_kinds(files: DataFrame, symbols: DataFrame, max_files: int | None = 400, max_hubs: int | None = 30) -> DataFrame:
     """What kind of program each repository is.
 
@@ -139,9 +95,18 @@ def project_figures(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> D
 
 
 def project_summary(
-    files: DataFrame, symbols: DataFrame, edges: DataFrame, findings: DataFrame, progress: DataFrame | None = None
+    files: DataFrame,
+    symbols: DataFrame,
+    edges: DataFrame,
+    findings: DataFrame,
+    progress: DataFrame | None = None,
+    max_files: int | None = 400,
+    max_hubs: int | None = 30,
 ) -> DataFrame:
-    """One row per repository: figures, top hubs, languages, findings, route (K4)."""
+    """One row per repository: figures, kind, top hubs, languages, findings, route (K4).
+
+    ``max_files`` and ``max_hubs`` bound the evidence of the kind, as in ``project_kinds``.
+    """
     top = hubs(symbols, REPO_KEYS, 3, "sym_id")
     top_hubs = top.groupBy(*REPO_KEYS).agg(
         F.transform(
@@ -159,7 +124,7 @@ def project_summary(
     )
     summary = (
         project_figures(files, symbols, edges)
-        .join(project_kinds(files, symbols), REPO_KEYS, "left")
+        .join(project_kinds(files, symbols, max_files, max_hubs), REPO_KEYS, "left")
         .join(top_hubs, REPO_KEYS, "left")
         .join(languages, REPO_KEYS, "left")
         .join(issues, REPO_KEYS, "left")
