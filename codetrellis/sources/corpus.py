@@ -8,8 +8,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrellis.functions import paths, rules
-from codetrellis.session import REPO_KEYS, cut, distributed_rank, top_k
+from codetrellis.functions import paths
+from codetrellis.functions.rulebook import rules
+from codetrellis.session import REPO_KEYS, top_k
 
 FILE_KEY = ["f1", "f2"]
 
@@ -152,10 +153,3 @@ def with_file_key(files: DataFrame) -> DataFrame:
     return files.withColumn("f1", F.xxhash64(*parts)).withColumn(
         "f2", F.xxhash64(F.lit("second half"), *parts)
     )
-
-
-def number_files(files: DataFrame) -> DataFrame:
-    """``file_no``: position of a file in path order inside its repository snapshot."""
-    # written first: ranking by range reads its input twice, and the scan is dear
-    listed = cut(files.select(*REPO_KEYS, "path", "language"))
-    return distributed_rank(listed, REPO_KEYS, ["path"], "file_no")
