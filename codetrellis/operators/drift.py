@@ -130,8 +130,12 @@ def compare(
         )
     )
     entries = reduce(DataFrame.unionByName, [new_cycles, changed, came_or_went])
-    order = [(F.col("kind") != "newCycle"), F.abs("delta").desc(), "kind", "subject", "detail"]
-    return with_flags(top_k(entries, REPO_KEYS, order, limit, "place"))
+    return with_flags(top_k(entries, REPO_KEYS, report_order(), limit, "place"))
+
+
+def report_order() -> list:
+    """New cycles first, then the largest movements."""
+    return [(F.col("kind") != "newCycle"), F.abs("delta").desc(), "kind", "subject", "detail"]
 
 
 def with_flags(entries: DataFrame) -> DataFrame:
