@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from codetrellis.operators.scopes import file_facts
-from codetrellis.operators.styles import markup_facts, stylesheet_facts
-from codetrellis.session import REPO_KEYS, cut
-from codetrellis.sources.corpus import FILE_KEY, number_files, with_file_key
+from codetrellis.operators.facts import FactStore, list_files, text_facts
+from codetrellis.session import REPO_KEYS, cut, distributed_rank
+from codetrellis.sources.corpus import FILE_KEY
 
 # declarations in one file; the file-size limit keeps their number below this
 SYMBOLS_PER_FILE = 1 << 21
@@ -22,19 +21,19 @@ class Declarations:
     calls: DataFrame
 
 
-def declarations(files: DataFrame) -> Declarations:
+def declarations(files: DataFrame, store: FactStore | None = None, lexed: Observation | None = None) -> Declarations:
     """Extract every declaration and call site of ``files``.
 
     ``sym_id`` follows path order, then order in the file, inside a repository
-    snapshot: ``file_no * 2^21 + position``. The facts are written once and both
-    tables read them.
+    snapshot: ``file_no * 2^21 + position``. Each distinct text is lexed once (see ``facts``), its facts
+    are joined to the files that have it, in a join that adaptive execution can split where very many have one. The
+    facts are written once and both tables read them.
     """
-    numbered = with_file_key(number_files(files))
-    facts = file_facts(files).unionByName(stylesheet_facts(files)).unionByName(markup_facts(files))
-    ordered = Window.partitionBy(*FILE_KEY).orderBy(F.col("sym_at").asc_nulls_last())
+    listed = list_files(files)
+    numbered = distributed_rank(listed, REPO_KEYS, ["path"], "file_no")
+    facts = text_facts(files, listed, store, lexed)
     facts = cut(
-        facts.withColumn("ordinal", F.row_number().over(ordered) - 1)
-        .join(numbered, FILE_KEY)
+        facts.join(numbered, FILE_KEY)
         .withColumn(
             "sym_id",
             F.when(

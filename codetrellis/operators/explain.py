@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrellis.functions import rules
+from codetrellis.functions.rulebook import rules
 from codetrellis.session import REPO_KEYS, top_k
 
 LABELS = {
@@ -23,6 +23,28 @@ LABELS = {
     ("drift", "shrank"): "fewer lines than before", ("drift", "gainedCallers"): "more callers than before",
     ("drift", "lostCallers"): "fewer callers than before", ("drift", "appeared"): "new functions",
     ("drift", "vanished"): "functions gone",
+    ("advice", "cycle"): "move what both sides need into a file of its own",
+    ("advice", "oversizedFile"): "look for parts that can be read apart",
+    ("advice", "complexFunction"): "give its branches names of their own",
+    ("advice", "godFunction"): "change it in small steps and test its callers",
+    ("advice", "layerViolation"): "go through the layer between the two",
+    ("advice", "unreachable"): "check whether something calls it by name, else remove it",
+    ("drift note", "newCycle"): "undo it while it is young",
+    ("drift note", "grew"): "see whether it does one thing still",
+    ("drift note", "shrank"): "what it did is done elsewhere or not at all",
+    ("drift note", "gainedCallers"): "more depends on it now",
+    ("drift note", "lostCallers"): "it may be on its way out",
+    ("drift note", "appeared"): "read these first",
+    ("drift note", "vanished"): "make sure that nothing misses them",
+    ("project kind", "web framework"): "answers requests with pages",
+    ("project kind", "compiler or parser"): "turns text into structure",
+    ("project kind", "database or storage engine"): "keeps data and finds it again",
+    ("project kind", "game"): "draws a world and lets it move",
+    ("project kind", "data or machine learning tool"): "learns from tables or tensors",
+    ("project kind", "command line tool"): "is run with words and flags",
+    ("project kind", "desktop application"): "lives in windows",
+    ("project kind", "server or network service"): "listens and answers",
+    ("project kind", "library"): "is used by other programs",
 }
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codetrellis.functions import rules
+from codetrellis.functions.rulebook import rules
 from codetrellis.session import allow_wide_expressions
 from codetrellis.sources.corpus import FILE_KEY, with_file_key
 
@@ -18,8 +18,11 @@ from codetrellis.sources.corpus import FILE_KEY, with_file_key
 COMMENT, STRING, TRIVIA_END = "\u0001", "\u0003", "\u0002"
 _RESERVED, _REPLACEMENT = COMMENT + TRIVIA_END + STRING, "\u0004\u0004\u0004"
 
-# nested block comments are matched to this depth
-NESTING = 24
+# nested block comments: what one more level puts around the pattern of the levels inside
+_LEVEL = ("/\\*(?:[^*/]++|\\*(?!/)|/(?!\\*)|", ")*+(?:\\*/)?+")
+_INNERMOST = "/\\*(?:[^*]++|\\*(?!/))*+(?:\\*/)?+"
+# stands for a nested comment in a family's pattern until the depth is known
+_NESTED = "(?:nested)"
 
 LETTER = "A-Za-z_\\x{80}-\\x{10FFFF}"
 _WORD_OR_NUMBER = f"[{LETTER}][{LETTER}0-9]*+|[0-9][{LETTER}0-9.]*+"
@@ -37,16 +40,37 @@ def _quoted(quote: str) -> str:
 def _block_comment(opening: str, closing: str, nested: bool) -> str:
     if opening == "<!--":
         return "<!--(?:[^-]++|-(?!->))*+(?:-->)?+"
-    if not nested:
-        return "/\\*(?:[^*]++|\\*(?!/))*+(?:\\*/)?+"
-    inner = "/\\*(?:[^*]++|\\*(?!/))*+(?:\\*/)?+"
-    for _ in range(NESTING):
-        inner = f"/\\*(?:[^*/]++|\\*(?!/)|/(?!\\*)|{inner})*+(?:\\*/)?+"
-    return inner
+    return _NESTED if nested else _INNERMOST
+
+
+def comment_depth(content: Column) -> Column:
+    """How deep block comments of a text can be nested, at most.
+
+    The depth rises at every opening and falls, not below zero, at every closing mark; a mark that can be either,
+    as in ``*/*``, opens. Comments that only seem to begin, in strings or after a line mark, can
+    make it too large but never too small.
+    """
+    marks = F.regexp_extract_all(content, F.lit("/\\*|\\*/(?!\\*)"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(at: Column, mark: Column) -> Column:
+        now = F.greatest(F.lit(0), at["now"] + F.when(mark == "/*", 1).otherwise(-1))
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
+
+    return F.when(content.contains("/*"), F.aggregate(marks, start, step, lambda x: x["most"])).otherwise(0)
+
+
+def _levels(content: Column) -> Column:
+    """Levels of a text's pattern: a power of two, so that few different patterns are compiled."""
+    depth = comment_depth(content)
+    return F.when(depth <= 4, 4).otherwise(F.pow(F.lit(2), F.ceil(F.log2(depth))).cast("int"))
 
 
 def _family_patterns(family: str) -> tuple[str, str, str]:
-    """(all chunks, start of a comment, start of a string) for one family."""
+    """(all chunks, start of a comment, start of a string) for one family.
+
+    A nested comment stands in the first as ``_NESTED``.
+    """
     _, line_marks, block, nested, triples, quotes = rules.LEXICAL_FAMILIES[family]
     comment_starts = list(line_marks) + ([block[0]] if block else [])
     comments = [f"{mark}[^\\n]*+" for mark in line_marks]
@@ -78,6 +102,11 @@ def _blank_chunk(chunk: Column, marker: str) -> Column:
 
 def _blank(content: Column, family: str) -> Column:
     chunks, comment_start, string_start = _family_patterns(family)
+    pattern = F.lit(chunks)
+    if _NESTED in chunks:
+        before, after = chunks.split(_NESTED)
+        opening, closing = (F.repeat(F.lit(x), _levels(content)) for x in _LEVEL)
+        pattern = F.concat(F.lit(before), opening, F.lit(_INNERMOST), closing, F.lit(after))
 
     def one(chunk: Column) -> Column:
         return (
@@ -86,7 +115,7 @@ def _blank(content: Column, family: str) -> Column:
             .otherwise(F.translate(chunk, _RESERVED, _REPLACEMENT))
         )
 
-    return F.array_join(F.transform(F.regexp_extract_all(content, F.lit(chunks), F.lit(0)), one), "")
+    return F.array_join(F.transform(F.regexp_extract_all(content, pattern, F.lit(0)), one), "")
 
 
 def blank_trivia(content: Column, language: Column) -> Column:
@@ -106,13 +135,16 @@ def blank_trivia(content: Column, language: Column) -> Column:
 def by_file(files: DataFrame) -> DataFrame:
     """Hash whole files to partitions; later steps inside a file then need no shuffle.
 
+    Files that have a key already, such as texts named by their content, keep it.
+
     Text grows many times over when it becomes tokens, so the number of
     partitions is the session's ``spark.sql.shuffle.partitions`` and is not
     coalesced; size it for some 16 MB of source text per partition.
     """
     allow_wide_expressions(files.sparkSession)
     count = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return with_file_key(files).select(*FILE_KEY, "language", "content").repartition(count, *FILE_KEY)
+    keyed = files if set(FILE_KEY) <= set(files.columns) else with_file_key(files)
+    return keyed.select(*FILE_KEY, "language", "content").repartition(count, *FILE_KEY)
 
 
 def first_code_point(text: Column) -> Column:

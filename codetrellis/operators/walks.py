@@ -146,12 +146,12 @@ def highlighted(edges: DataFrame, sources: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def chains(nodes: DataFrame, edges: DataFrame, keys: list[str], max_depth: int = 8) -> DataFrame:
+def chains(nodes: DataFrame, edges: DataFrame, keys: list[str], max_depth: int | None = 8) -> DataFrame:
     """Shortest caller path to every node from a node nothing calls.
 
     ``(keys, id, path, rooted)`` with the path from root to node. One forward
     search from all roots serves every node: the parent is the smallest caller
-    one step nearer a root. A node without a root in range gets itself.
+    one step nearer a root. A node without a root in range gets itself; ``None`` is any range.
     """
     called = edges.select(*keys, F.col("dst").alias("id")).distinct()
     start = cut(
@@ -159,7 +159,7 @@ def chains(nodes: DataFrame, edges: DataFrame, keys: list[str], max_depth: int =
     )
     step = cut(edges.select(*keys, F.col("src").alias("id"), F.col("dst").alias("next")))
     found = [start]
-    for _ in range(max_depth):
+    while max_depth is None or len(found) <= max_depth:
         visited = _union([part.select(*keys, "id") for part in found])
         nearer = (
             found[-1]

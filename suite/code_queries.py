@@ -399,6 +399,24 @@ def code_project_kinds(spark, sf_dir):
     return ranking.project_kinds(a.files, a.symbols).select("repo", "project_kind")
 
 
+@query(
+    "code_project_kinds_all",
+    corpus.sql(
+        "SELECT repo, CASE WHEN max(hits) >= 2 THEN arg_max(kind, hits * 100 - place) ELSE 'library' END AS project_kind FROM ("
+        "SELECT r.repo, k.kind, k.place, count(DISTINCT k.word) FILTER (contains(t.text, k.word)) AS hits "
+        "FROM (SELECT DISTINCT repo FROM file_rows) r JOIN texts t USING (repo), words k GROUP BY ALL) GROUP BY repo",
+        "texts AS (SELECT repo, lower(path) AS text FROM file_rows UNION ALL SELECT repo, lower(name) FROM node WHERE fan_in > 0),"
+        "words AS (SELECT * FROM (VALUES " + ", ".join(
+            f"({place}, '{kind}', '{word}')" for place, (kind, words) in enumerate(rules.PROJECT_KINDS) for word in words
+        ) + ") AS w(place, kind, word))",
+    ),
+)
+def code_project_kinds_all(spark, sf_dir):
+    """A12 from all paths and all called names."""
+    a = corpus.analysis(spark, sf_dir)
+    return ranking.project_kinds(a.files, a.symbols, None, None).select("repo", "project_kind")
+
+
 @query(
     "code_cover",
     corpus.sql("SELECT repo, language, count(*) AS files, count(*) AS covered FROM file_rows GROUP BY ALL"),

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrellis.operators import findings, modules
-from codetrellis.plans.analysis import Analysis, Options
+from codetrellis.plans.analysis import REPORT, Analysis, Options
 from codetrellis.sources.corpus import read_corpus
 from suite.registry import shared, table
 
@@ -262,7 +261,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # what the diagram and the report show
-PICTURE = {"max_nodes": modules.PICTURE_NODES, "max_edges": modules.PICTURE_EDGES, "limits": findings.REPORT}
+PICTURE = REPORT
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> Analysis:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codetrellis.functions import scores
-from codetrellis.operators import components, findings, graph, modules, ranking, routes, walks
+from codetrellis.operators import components, findings, graph, modules, reachability, routes, search, walks
+from codetrellis.operators.explain import labels, with_label
 from codetrellis.operators.quality import permutation_check
 from codetrellis.session import REPO_KEYS, consecutive, cut
 from suite.registry import query, shared, table
@@ -277,6 +278,97 @@ def assembly_highlight(spark, sf_dir):
     return walks.highlighted(assembly_edges(spark, sf_dir), sources, ALL)
 
 
+def assembly_index(spark, sf_dir):
+    def build():
+        return reachability.index(assembly_nodes(spark, sf_dir).withColumnRenamed("id", "node"), assembly_edges(spark, sf_dir), ALL)
+
+    return shared(spark, sf_dir, "assembly index", build)
+
+
+_NEEDS = "walk AS (SELECT src, dst FROM edge UNION SELECT w.src, e.dst FROM walk w JOIN edge e ON w.dst = e.src)"
+
+
+@query(
+    "assembly_reach_all",
+    _assembly_sql(
+        "SELECT n.repo, n.id AS source, count(DISTINCT w.dst) AS reach FROM "
+        "(SELECT repo, id FROM node UNION SELECT repo, dst FROM edge) n LEFT JOIN walk w ON w.src = n.id GROUP BY ALL",
+        _NEEDS,
+    ),
+)
+def assembly_reach_all(spark, sf_dir):
+    """G1 without a limit, from the index of the condensed graph."""
+    return reachability.reach_sizes(assembly_index(spark, sf_dir))
+
+
+@query(
+    "assembly_reachable",
+    _assembly_sql(
+        "SELECT q.repo, q.source, q.target, w.src IS NOT NULL AS reachable FROM (SELECT repo, id AS source, id // (2 * k) + id % k AS target "
+        "FROM node, range(1, 6) r(k)) q LEFT JOIN walk w ON w.src = q.source AND w.dst = q.target",
+        _NEEDS,
+    ),
+)
+def assembly_reachable(spark, sf_dir):
+    """Five questions for every part, answered from one index."""
+    asked = assembly_nodes(spark, sf_dir).select(
+        "repo", F.col("id").alias("source"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("k")
+    )
+    target = F.floor(F.col("source") / (2 * F.col("k"))) + F.col("source") % F.col("k")
+    return reachability.reaches(assembly_index(spark, sf_dir), asked.select("repo", "source", target.alias("target")))
+
+
+@query(
+    "session_reach_all",
+    _session_sql(
+        "SELECT n.user_id, n.id AS source, count(DISTINCT w.dst) FILTER (w.dst <> n.id) AS reach "
+        "FROM node n LEFT JOIN walk w ON n.user_id = w.user_id AND n.id = w.src GROUP BY ALL",
+        CLOSURE,
+    ),
+)
+def session_reach_all(spark, sf_dir):
+    """G1 without a limit where cycles abound."""
+    nodes = session_sources(spark, sf_dir).withColumnRenamed("source", "node")
+    return reachability.reach_sizes(reachability.index(nodes, session_edges_table(spark, sf_dir), USER))
+
+
+# --- ring graph: three parts in a row need each other, and each three the next ---
+
+RING = """
+n AS (SELECT p_partkey AS id, p_partkey // 3 AS g FROM part),
+whole AS (SELECT g, max(id) AS comp FROM n GROUP BY g HAVING count(*) = 3)"""
+
+
+def ring_edges(spark, sf_dir):
+    key = F.col("p_partkey")
+    place = key % 3
+    ends = F.array(
+        F.when(place < 2, key + 1),
+        F.when(place == 2, key - 2),
+        F.when(place == 2, key + 1),
+    )
+    steps = table(spark, sf_dir, "part").select(F.lit("all").alias("repo"), key.alias("src"), F.explode(F.array_compact(ends)).alias("dst"))
+    known = table(spark, sf_dir, "part").select(key.alias("dst"))
+    return steps.join(known, "dst", "left_semi").select("repo", "src", "dst")
+
+
+@query("ring_cycles", "WITH " + RING.strip() + " SELECT 'all' AS repo, comp, id AS node FROM n JOIN whole USING (g)")
+def ring_cycles(spark, sf_dir):
+    """G5 on a long chain of cycles: one of three parts each, every one leading to the next."""
+    return components.components(ring_edges(spark, sf_dir), ALL)
+
+
+@query(
+    "ring_reach",
+    "WITH " + RING.strip() + ", m AS (SELECT max(id) AS top FROM n) SELECT 'all' AS repo, id AS source, "
+    "CASE WHEN g IN (SELECT g FROM whole) THEN top - 3 * g ELSE top - id END AS reach FROM n, m",
+)
+def ring_reach(spark, sf_dir):
+    """G1 where paths are as long as the graph is large: the chains of the index cover them."""
+    nodes = table(spark, sf_dir, "part").select(F.lit("all").alias("repo"), F.col("p_partkey").alias("node"))
+    return reachability.reach_sizes(reachability.index(nodes, ring_edges(spark, sf_dir), ALL))
+
+
 # --- trade graph -------------------------------------------------------------
 
 TRADE = """
@@ -412,14 +504,25 @@ def trade_modules(spark, sf_dir):
     )
 
 
-@query(
-    "trade_districts",
-    _trade_sql(
+_DISTRICTS = (
         "SELECT repo, district, files, symbols, symbols / greatest(sum(symbols) OVER (), 1) AS share, names FROM ("
         "SELECT repo, district, count(*) AS files, sum(symbol_count)::BIGINT AS symbols, "
         "string_agg(name, ' · ' ORDER BY k) FILTER (k <= 3) AS names FROM (SELECT *, row_number() OVER "
         "(PARTITION BY district ORDER BY fan_in + fan_out DESC, path) AS k FROM module) GROUP BY ALL)"
-    ),
+)
+_MATRIX = (
+        "SELECT repo, path, district, matrix_rank, min(matrix_rank) OVER (PARTITION BY district) AS district_start FROM ("
+        "SELECT *, row_number() OVER (ORDER BY district_rank, symbol_count DESC, path) - 1 AS matrix_rank FROM module)"
+)
+_SEED = (
+        "SELECT repo, path, depth, row_number() OVER (PARTITION BY depth ORDER BY district_rank, symbol_count DESC, path) - 1 AS seed_rank "
+        "FROM module JOIN deep USING (path)"
+)
+
+
+@query(
+    "trade_districts",
+    _trade_sql(_DISTRICTS),
 )
 def trade_districts(spark, sf_dir):
     """A9, P12."""
@@ -428,10 +531,7 @@ def trade_districts(spark, sf_dir):
 
 @query(
     "trade_matrix_order",
-    _trade_sql(
-        "SELECT repo, path, district, matrix_rank, min(matrix_rank) OVER (PARTITION BY district) AS district_start FROM ("
-        "SELECT *, row_number() OVER (ORDER BY district_rank, symbol_count DESC, path) - 1 AS matrix_rank FROM module)"
-    ),
+    _trade_sql(_MATRIX),
 )
 def trade_matrix_order(spark, sf_dir):
     """R10."""
@@ -467,21 +567,57 @@ deep AS (SELECT path, max(d) AS depth FROM hop GROUP BY path)"""
 
 @query(
     "trade_seed_order",
-    _trade_sql(
-        "SELECT repo, path, depth, row_number() OVER (PARTITION BY depth ORDER BY district_rank, symbol_count DESC, path) - 1 AS seed_rank "
-        "FROM module JOIN deep USING (path)",
-        _TRADE_DEPTH,
-    ),
+    _trade_sql(_SEED, _TRADE_DEPTH),
 )
 def trade_seed_order(spark, sf_dir):
     """G6, R11."""
-    t = trade(spark, sf_dir)
+    return _seeded(trade(spark, sf_dir))
+
+
+def _seeded(t: Trade):
     ends = t.module_edges.withColumnsRenamed({"src_path": "src", "dst_path": "dst"})
     nodes = t.modules.select(*REPO_KEYS, F.col("path").alias("id"))
     depths = walks.depth(nodes, ends, REPO_KEYS).withColumnRenamed("id", "path")
     return modules.seed_order(t.modules, depths).drop("snap")
 
 
+# the same five on the whole file graph: nothing is cut before the orders and shares
+
+@query(
+    "trade_modules_all",
+    _whole_sql("SELECT repo, path, name, layer, symbol_count, lines, weight, fan_in, fan_out FROM module"),
+)
+def trade_modules_all(spark, sf_dir):
+    """A5, A7, A8, P10 without a limit of files or edges."""
+    return whole_trade(spark, sf_dir).modules.select(
+        "repo", "path", "name", "layer", "symbol_count", "lines", "weight", "fan_in", "fan_out"
+    )
+
+
+@query("trade_districts_all", _whole_sql(_DISTRICTS))
+def trade_districts_all(spark, sf_dir):
+    """A9, P12 on the whole file graph."""
+    return modules.district_rollup(whole_trade(spark, sf_dir).modules).drop("snap")
+
+
+@query("trade_matrix_order_all", _whole_sql(_MATRIX))
+def trade_matrix_order_all(spark, sf_dir):
+    """R10 on the whole file graph."""
+    return modules.matrix_order(whole_trade(spark, sf_dir).modules).drop("snap")
+
+
+@query("trade_matrix_check_all", _whole_sql("SELECT DISTINCT repo, true AS is_permutation FROM module"))
+def trade_matrix_check_all(spark, sf_dir):
+    """V2 on the whole file graph."""
+    return permutation_check(modules.matrix_order(whole_trade(spark, sf_dir).modules), ["repo"], "matrix_rank")
+
+
+@query("trade_seed_order_all", _whole_sql(_SEED, _TRADE_DEPTH))
+def trade_seed_order_all(spark, sf_dir):
+    """G6, R11 on the whole file graph."""
+    return _seeded(whole_trade(spark, sf_dir))
+
+
 _TRADE_FINDINGS = _TRADE_CLOSURE + """,
 cycles AS (
   SELECT 'cycle' AS kind, CASE WHEN size > 3 THEN 2 ELSE 1 END AS severity,
@@ -562,6 +698,26 @@ def trade_findings_all(spark, sf_dir):
     return _all_findings(spark, sf_dir).drop("snap", "sym_id")
 
 
+@query(
+    "trade_advice",
+    _whole_sql(
+        "SELECT 'trade' AS repo, kind, CASE kind WHEN 'cycle' THEN 'files that need each other' WHEN 'oversizedFile' THEN 'a very large file' "
+        "WHEN 'complexFunction' THEN 'hard to follow' WHEN 'godFunction' THEN 'leaned on everywhere' WHEN 'layerViolation' THEN 'a layer is skipped' "
+        "ELSE 'nothing seems to call it' END AS label, CASE kind WHEN 'cycle' THEN 'move what both sides need into a file of its own' "
+        "WHEN 'oversizedFile' THEN 'look for parts that can be read apart' WHEN 'complexFunction' THEN 'give its branches names of their own' "
+        "WHEN 'godFunction' THEN 'change it in small steps and test its callers' WHEN 'layerViolation' THEN 'go through the layer between the two' "
+        "ELSE 'check whether something calls it by name, else remove it' END AS advice, count(*) AS n FROM ranked GROUP BY ALL",
+        _TRADE_FINDINGS,
+    ),
+)
+def trade_advice(spark, sf_dir):
+    """P20: what each kind of finding is called and what to do about it."""
+    counted = _all_findings(spark, sf_dir).groupBy("repo", "kind").agg(F.count(F.lit(1)).alias("n"))
+    wording = labels(spark)
+    named = with_label(counted, wording, "finding", "kind", "label")
+    return with_label(named, wording, "advice", "kind", "advice").select("repo", "kind", "label", "advice", "n")
+
+
 @query(
     "trade_finding_counts_all",
     _whole_sql(
@@ -701,4 +857,4 @@ def part_search(spark, sf_dir):
         .union(region.select(F.lit("Brand#1")))
         .distinct()
     )
-    return ranking.search(symbols, needles, 40, ["repo"]).select("repo", "sym_id", "needle", "rank")
+    return search.search(symbols, needles, 40, ["repo"]).select("repo", "sym_id", "needle", "rank")

@@ -142,6 +142,45 @@ def document_roles(spark, sf_dir):
     return role_histogram(_documents_as_code(spark, sf_dir)).select("repo", "role", "tokens")
 
 
+# comments, strings and what is between, as a script has them
+_CHUNK = (
+    r"//[^\n]*|/\*(?:[^*]|\*+[^*/])*(?:\*+/|\**)"
+    r"""|"(?:[^"\\\n]|\\(?s:.)?)*"?|''(?:[^''\\\n]|\\(?s:.)?)*''?|`(?:[^`\\]|\\(?s:.)?)*`?"""
+    r"""|[^"''`/]+|/"""
+)
+_LETTER = r"A-Za-z_\x{80}-\x{10FFFF}"
+
+
+def _whole_roles_sql() -> str:
+    words = ", ".join(f"'{w}'" for w in rules.ROLE_KEYWORDS)
+    return rf"""
+SELECT source AS repo, role, count(*) AS tokens FROM (
+  SELECT source, CASE
+      WHEN token = chr(1) THEN 'comment' WHEN token = chr(3) THEN 'string'
+      WHEN regexp_matches(token, '^[0-9]') THEN 'number'
+      WHEN NOT regexp_matches(token, '^[{_LETTER}]') THEN 'punct'
+      WHEN token IN ({words}) THEN 'keyword'
+      WHEN following = '(' THEN 'function'
+      WHEN regexp_matches(token, '^\p{{Lu}}') THEN 'type' ELSE 'plain' END AS role
+  FROM (SELECT source, list[k] AS token, list[k + 1] AS following FROM (
+    SELECT source, list, unnest(range(1, len(list) + 1)) AS k FROM (
+      SELECT source, flatten(list_transform(regexp_extract_all(text, '{_CHUNK}'), lambda c:
+        CASE WHEN c LIKE '//%' OR c LIKE '/*%' THEN [chr(1)] WHEN left(c, 1) IN ('"', '''', '`') THEN [chr(3)]
+          ELSE regexp_extract_all(c, '[{_LETTER}][0-9{_LETTER}]*|[0-9][0-9.{_LETTER}]*|[^ \t\r\n]') END)) AS list
+      FROM documents))))
+GROUP BY ALL"""
+
+
+@query("document_roles_whole", _whole_roles_sql())
+def document_roles_whole(spark, sf_dir):
+    """X1, X2, P26, A14 over whole documents as they are, comments and strings included."""
+    files = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("repo"), F.lit("a").alias("snap"), F.col("doc_id").cast("string").alias("path"),
+        F.lit("javascript").alias("language"), F.col("text").alias("content"),
+    )
+    return role_histogram(files).select("repo", "role", "tokens")
+
+
 _KNOWN_WORDS = rules.GLOSSARY_WORDS + ["the", "of", "la", "de", "und"]
 
 
