@@ -14,13 +14,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: bytes up to which a polynomial modulo 2^64 tells strings apart by itself
 SOUND = 128
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts of an Arrow column, and the offset of each text; null is empty."""
+    """UTF-8 bytes of all texts of an Arrow column, and the offset of each text; null is empty.
+
+    Called once for each batch, so it is also where a task gives back what earlier batches took.
+    """
+    pa.default_memory_pool().release_unused()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     column = pc.fill_null(column, pa.scalar("", column.type) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else pa.scalar(b"", column.type))
