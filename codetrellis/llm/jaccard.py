@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from codetrellis.llm.blocks import blocks, mixed, shingle_sets, sums_by, text_bytes
 from codetrellis.llm.links import connected
 from codetrellis.llm.registry import query, table
-from codetrellis.session import cut, top_k
+from codetrellis.session import checkpointed as cut, top_k
 
 
 @dataclass(frozen=True)

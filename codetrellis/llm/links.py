@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codetrellis.session import cut
+from codetrellis.session import checkpointed as cut
 
 
 def connected(edges: DataFrame) -> DataFrame:

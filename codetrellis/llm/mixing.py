@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetrellis.llm.registry import query, table
-from codetrellis.session import cut
+from codetrellis.session import checkpointed as cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 

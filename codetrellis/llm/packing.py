@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codetrellis.llm.registry import query, table
-from codetrellis.session import cut
+from codetrellis.session import checkpointed as cut
 
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _seen long"
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from codetrellis.llm.blocks import blocks, text_bytes
 from codetrellis.llm.registry import query, table
-from codetrellis.session import cut
+from codetrellis.session import checkpointed as cut
 
 
 #: languages up to which a table of them is broadcast

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codetrellis.llm.registry import query, table
-from codetrellis.session import cut, distributed_rank
+from codetrellis.session import checkpointed as cut, distributed_rank
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from codetrellis.llm.packing import pack
 from codetrellis.llm.perplexity import classify, toxic_ids, trusted_ids
 from codetrellis.llm.registry import table
 from codetrellis.llm.secrets import redacted, scan
-from codetrellis.session import cut
+from codetrellis.session import checkpointed as cut
 
 
 #: ids up to which a list of documents to drop is broadcast; a longer one is joined by shuffle
