@@ -63,3 +63,63 @@ def test_a_threshold_of_the_session_is_kept(spark):
     finally:
         spark.conf.set(guessed, before[0])
         spark.conf.unset(measured) if before[1] is None else spark.conf.set(measured, before[1])
+
+
+def _parts(spark, root):
+    spark.range(40).select(
+        F.col("id").alias("p_partkey"), F.concat(F.lit("Brand#"), F.col("id") % 3).alias("p_brand")
+    ).coalesce(1).write.parquet(f"{root}/part.parquet")
+    return str(root)
+
+
+def test_texts_of_a_small_table_are_made_by_many_tasks(spark, tmp_path):
+    from suite.call_queries import MEMBERS, _filled
+    from suite.registry import table
+
+    filled = _filled(MEMBERS, table(spark, _parts(spark, tmp_path), "part"))
+    assert filled.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert filled.count() == filled.distinct().count() == 40 * len(MEMBERS)
+
+
+def test_a_tree_is_written_by_many_tasks(spark, tmp_path):
+    from suite.source_queries import forest_files
+
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup("forest")
+    assert not before
+    spark.sparkContext.setJobGroup("forest", "tree")
+    try:
+        found = {(r.repo, r.path) for r in forest_files(spark, _parts(spark, tmp_path)).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    names = {0: "src/a_{}.py", 3: "src/latin_{}.py", 7: "deep/a/b/c/d_{}.go"}
+    assert found == {(f"Brand#{i % 3}", names[i % 9].format(i)) for i in range(40) if i % 9 in names}
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("forest") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_digest_is_not_dealt_to_a_few_tasks(spark, tmp_path):
+    from suite.drift_queries import table_digest_counts
+
+    spark.range(1000).select(
+        (F.col("id") / 4).cast("bigint").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"), F.lit(1).alias("l_suppkey")
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = table_digest_counts(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_suppkey" not in plan and ", 5)" not in plan
+    assert [tuple(r) for r in found.collect()] == [(1000, True)]
+
+
+def test_a_large_append_is_written_by_several_tasks_of_a_bucket(spark, tmp_path):
+    from codetrellis.sources.logstore import LogTable
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        log = LogTable(spark, str(tmp_path / "log"), "k bigint, v string", ("k",), ("k",), buckets=1)
+        log.append(spark.range(0, 40_000, 1, 8).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v")))
+    finally:
+        spark.conf.set(name, before)
+    assert log.files() > 1
+    assert log.read().count() == log.read().distinct().count() == 40_000
