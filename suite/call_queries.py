@@ -9,7 +9,7 @@ from codetrellis.operators.declarations import declarations
 from codetrellis.operators.lexing import comment_depth
 from codetrellis.plans.analysis import Analysis, Options
 from codetrellis.sources.corpus import read_corpus
-from suite.registry import query, shared, table
+from suite.registry import dealt, query, shared, table
 
 # --- names that many types declare --------------------------------------------
 
@@ -66,7 +66,7 @@ def _filled(templates: dict[str, str], parts, snap: str = "a"):
         return F.replace(t, F.lit("{p}"), F.col("p_partkey").cast("string"))
 
     one_each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(body).alias("body")) for name, body in templates.items()])
-    rows = parts.select("p_partkey", "p_brand", F.explode(one_each).alias("t"))
+    rows = dealt(parts.select("p_partkey", "p_brand"), "p_partkey").select("p_partkey", "p_brand", F.explode(one_each).alias("t"))
     return rows.select(
         F.col("p_brand").alias("repo"), F.lit(snap).alias("snap"), text(F.col("t.name")).alias("path"), text(F.col("t.body")).alias("content")
     )
@@ -113,7 +113,7 @@ def part_nested_comments(spark, sf_dir):
         F.lit("fn a_"), key, F.lit("() { // /*\n"), F.repeat(F.lit("/* \" \n"), depth), F.lit("call_"), key, F.lit("() "),
         F.repeat(F.lit("*/ "), depth), F.lit("\n  let s = \"/*\"; "), F.lit("real_"), key, F.lit("()\n}\n"),
     )
-    raw = table(spark, sf_dir, "part").select(
+    raw = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(
         F.lit("r").alias("repo"), F.lit("a").alias("snap"), F.concat(key, F.lit(".rs")).alias("path"), content.alias("content")
     )
     files = read_corpus(raw)
