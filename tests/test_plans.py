@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from codetrellis.operators import reachability
+from codetrellis.operators import modules, reachability
 from codetrellis.operators.declarations import declarations
-from codetrellis.session import broadcast_as_measured, cut
+from codetrellis.session import brief, broadcast_as_measured, cut
 
 
 def _guess(df) -> int:
@@ -123,3 +123,32 @@ def test_a_large_append_is_written_by_several_tasks_of_a_bucket(spark, tmp_path)
         spark.conf.set(name, before)
     assert log.files() > 1
     assert log.read().count() == log.read().distinct().count() == 40_000
+
+
+def test_a_cut_reads_the_columns_that_are_asked_for(spark):
+    found = cut(spark.range(10).select("id", (F.col("id") * 2).alias("twice"), F.lit("x" * 50).alias("wide")))
+    plan = found.groupBy().agg(F.sum("twice").alias("s"))
+    scan = next(l for l in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Scan" in l)
+    assert "twice" in scan and "wide" not in scan
+    assert plan.collect()[0].s == 90
+    nothing = cut(spark.range(3).select("id", F.lit(None).alias("nothing")))
+    assert {tuple(r) for r in nothing.collect()} == {(0, None), (1, None), (2, None)}
+    assert cut(spark.range(3).filter("id > 5")).isEmpty()
+
+
+def test_a_step_of_a_route_does_not_shuffle_the_edges(spark):
+    here = brief(cut(spark.range(1).select(F.lit("r").alias("repo"), F.col("id").alias("src"))))
+    edges = spark.range(100).select(F.lit("r").alias("repo"), F.col("id").alias("src"), F.col("id").alias("dst"))
+    joined = edges.join(here, ["repo", "src"])
+    assert "SortMergeJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in joined.collect()] == [("r", 0, 0)]
+    many = cut(spark.range(10_001))
+    assert brief(many) is many
+
+
+def test_the_file_graph_weighs_edges_by_pairs_of_files(spark):
+    rows = [("r", "a", "x", "x", 2), ("r", "a", "x", "y", 3), ("r", "a", "x", "y", 4), ("r", "a", "y", None, 5)]
+    located = spark.createDataFrame(rows, "repo string, snap string, src_path string, dst_path string, n long")
+    pairs = modules.file_pairs(located)
+    assert {tuple(r)[2:] for r in pairs.collect()} == {("x", "x", 1, 2), ("x", "y", 2, 7), ("y", None, 1, 5)}
+    assert {r.path: r.weight for r in modules.connectedness(pairs).collect()} == {"x": 3, "y": 3}
