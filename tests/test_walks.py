@@ -58,6 +58,29 @@ def test_reach(graphs, limit):
             assert got[g, i] == (seen - 1, seen >= limit)
 
 
+def test_reach_searches_only_for_large_and_cyclic_sets(spark, monkeypatch):
+    # a part needs its half and its third; 50 and 51 need each other, 60 has an edge without an end, 70 needs 20 others
+    pairs = [(i, j) for i in range(1, 48) for j in {i // 2, i // 3}] + [(50, 51), (51, 50), (52, 50), (60, None), (60, 3), (61, 60), (3, 3)]
+    pairs += [(70, 100 + i) for i in range(20)]
+    edges = spark.createDataFrame([("g", a, b, 1) for a, b in [*pairs, (None, 1)]], "repo string, src bigint, dst bigint, n bigint")
+    names = [*{x for pair in pairs for x in pair}, 80]
+    sources = spark.createDataFrame([("g", n) for n in names] * 2 + [(None, 1)], "repo string, source bigint")
+    seen = walks.expand(edges, sources, KEYS, limit=12).groupBy("repo", "source").agg((F.count(F.lit(1)) - 1).alias("reach"))
+    want = sorted(((r.repo, r.source, r.reach, r.reach >= 11) for r in seen.collect()), key=str)
+    asked, expand = [], walks.expand
+
+    def watched(edges, sources, *rest, **named):
+        asked.append({(r.repo, r.source) for r in sources.collect()})
+        return expand(edges, sources, *rest, **named)
+
+    monkeypatch.setattr(walks, "expand", watched)
+    got = walks.reach(edges, sources, KEYS, 12)
+    assert sorted(((r.repo, r.source, r.reach, r.capped) for r in got.collect()), key=str) == want
+    large = {("g", source) for repo, source, _, capped in want if capped and repo}
+    assert large
+    assert asked == [large | {("g", n) for n in (50, 51, 52, 60, 61, None)} | {(None, 1)}]
+
+
 @pytest.mark.parametrize("direction", ["up", "down"])
 def test_blast(graphs, direction):
     made, edges, nodes = graphs
