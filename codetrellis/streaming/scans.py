@@ -88,10 +88,12 @@ def stream_drift(
         )
         asked = pairs.select(*REPO_KEYS).unionByName(pairs.select("repo", F.col("previous").alias("snap"))).distinct()
         rows = known.join(asked, REPO_KEYS, "left_semi")
-        newest = F.max_by(F.struct("span", "branches", "callers"), "_batch").alias("_r")
-        symbols = rows.filter("sym_key IS NOT NULL").groupBy(*REPO_KEYS, "sym_key").agg(newest).select(*REPO_KEYS, "sym_key", "_r.*")
+        # numbers one by one are kept by hash, a struct of them is sorted; of equal batches each takes the same row
+        newest = [F.max_by(v, "_batch").alias(v) for v in ("span", "branches", "callers")]
+        # a comparison reads its tables several times, the history would be read and joined each time
+        symbols = cut(rows.filter("sym_key IS NOT NULL").groupBy(*REPO_KEYS, "sym_key").agg(*newest))
         cycles = (
-            rows.filter("cycle_key IS NOT NULL").select(*REPO_KEYS, "cycle_key").distinct()
+            cut(rows.filter("cycle_key IS NOT NULL").select(*REPO_KEYS, "cycle_key").distinct())
             if with_cycles
             else spark.createDataFrame([], "repo string, snap string, cycle_key string")
         )

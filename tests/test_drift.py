@@ -102,6 +102,29 @@ def test_split_and_late_scans_and_cycles(spark, tmp_path):
     assert batch.filter("kind = 'newCycle'").count() == 1 and batch.count() == streamed.count() == 16
 
 
+def test_a_batch_compares_scans_that_were_written_once(spark, tmp_path, monkeypatch):
+    from codetrellis.streaming import scans
+
+    plans, compare = [], scans.compare
+
+    def watched(history, cycles, *rest):
+        plans.extend(t._jdf.queryExecution().optimizedPlan().toString() for t in (history, cycles))
+        return compare(history, cycles, *rest)
+
+    monkeypatch.setattr(scans, "compare", watched)
+    schema = HISTORY + ", cycle_key string"
+    rows = [("r", s, dt.datetime(2024, 1, d), "f#1", 10 * d, d, 1, None) for s, d in (("a", 1), ("b", 3))]
+    rows += [("r", "b", dt.datetime(2024, 1, 3), None, None, None, None, "x|y")]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, schema).write.parquet(source)
+    stream_drift(
+        spark.readStream.schema(schema).parquet(source), *[str(tmp_path / n) for n in ("history", "drift", "state")]
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert len(plans) == 2 and not any("Join" in plan or "Aggregate" in plan for plan in plans)
+    got = read_drift(spark, str(tmp_path / "drift")).select("kind", "subject", "delta", "detail").collect()
+    assert {tuple(r) for r in got} == {("newCycle", "x → y", 1, ""), ("grew", "1", 20, "2")}
+
+
 def test_report_keeps_other_snapshots(spark, tmp_path):
     root = str(tmp_path / "report")
     for snap in ("a", "b"):
