@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from codetrellis.operators import modules, reachability
 from codetrellis.operators.declarations import declarations
+from codetrellis.operators.facts import _extracted, text_key
 from codetrellis.session import brief, broadcast_as_measured, cut
 
 
@@ -51,6 +52,14 @@ def test_facts_of_files_are_not_broadcast(spark, corpus_of):
     assert {(r.name, r.callee) for r in joined.collect()} == {(f"f{i}", f"g{i}") for i in range(5)}
 
 
+def test_texts_are_read_in_one_pass(spark, corpus_of):
+    files = corpus_of({"a.py": "def f():\n    return g()\n", "b.c": "int f(int a) { return g(a); }\n", "c.css": ".x { }\n", "d.html": '<p id="y">\n'})
+    found = _extracted(files.select(*text_key(), "language", "content"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan and "Join" not in plan
+    assert sorted((r.name, r.ordinal, len(r.calls)) for r in found.collect()) == [("#y", 0, 0), (".x", 0, 0), ("f", 0, 1), ("f", 0, 1)]
+
+
 def test_a_threshold_of_the_session_is_kept(spark):
     guessed, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
     before = spark.conf.get(guessed), spark.conf.get(measured, None)
