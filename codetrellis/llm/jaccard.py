@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from codetrellis.llm.blocks import blocks, mixed, shingle_sets, sums_by, text_bytes
 from codetrellis.llm.links import connected
 from codetrellis.llm.registry import query, table
-from codetrellis.session import checkpointed as cut, top_k
+from codetrellis.session import checkpointed as cut, cut as cut_to_files, top_k
 
 
 @dataclass(frozen=True)
@@ -456,7 +456,7 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
     and those first sets leave the signature: whatever is left undecided about
     them is decided. A group of near copies gets one label in the first round. No
     signature's members are gathered in one task: the first ones are cut before the shuffle, and dealt
-    out by range where there are very many.
+    out by range where there are very many. What a round builds on is read from files, as in ``links.connected``.
     """
     sets = cut(sets.dropDuplicates(["f1", "f2"]).withColumn("node", F.monotonically_increasing_id()))
 
@@ -472,15 +472,15 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
             )
 
     live = cut(sets.select("node", "shingles").mapInArrow(index, "signature long, node long").distinct())
-    labels = cut(sets.select("node", F.col("node").alias("label")))
+    labels = cut_to_files(sets.select("node", F.col("node").alias("label")))
     while True:
         known = live.join(labels, "node")
         mixed_ = known.groupBy("signature").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).filter("_a <> _b")
-        known = cut(known.join(mixed_.select("signature"), "signature"))
+        known = cut_to_files(known.join(mixed_.select("signature"), "signature"))
         if known.isEmpty():
             break
         lead = top_k(known, ["signature"], ["node"], pivots, "_n")
-        lead = cut(lead.select("signature", F.col("node").alias("u"), F.col("label").alias("_lu")))
+        lead = cut_to_files(lead.select("signature", F.col("node").alias("u"), F.col("label").alias("_lu")))
         pairs = (
             known.join(lead, "signature")
             .filter("label <> _lu")
@@ -499,9 +499,9 @@ def _large_groups(sets: DataFrame, join: Join, pivots: int = 4) -> DataFrame:
         other = labels.select(F.col("node").alias("v"), F.col("label").alias("_lv"))
         merged = connected(links.select("u", "v").join(ends, "u").join(other, "v").select(F.col("_lu").alias("u"), F.col("_lv").alias("v")))
         merged = merged.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-        labels = cut(labels.join(merged, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
+        labels = cut_to_files(labels.join(merged, "label", "left").select("node", F.coalesce("_to", "label").alias("label")))
         pivots *= 4
-        live = cut(known.select("signature", "node").join(lead.select("signature", F.col("u").alias("node")), ["signature", "node"], "left_anti"))
+        live = cut_to_files(known.select("signature", "node").join(lead.select("signature", F.col("u").alias("node")), ["signature", "node"], "left_anti"))
     named = sets.select("node", "f1", "f2", "doc_id").join(labels, "node")
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("_low"))
     return named.join(lowest, "label").select("f1", "f2", F.col("_low").alias("label"))

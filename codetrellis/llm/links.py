@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codetrellis.session import checkpointed as cut
+from codetrellis.session import cut
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def connected(edges: DataFrame) -> DataFrame:
     Large and small stars in turn: every node hangs its larger neighbours, then its
     smaller ones, on the smallest it knows. Minima are combined before the shuffle
     and written, so that the join with them reads two exchanges and adaptive
-    execution can split a node with very many neighbours. Rounds grow with the logarithm of the longest path.
+    execution can split a node with very many neighbours. Rounds grow with the logarithm of the longest path; each
+    goes on from files, for the size that Spark guesses for a checkpoint has four times the digits a round later.
     Loops and repeated edges do no harm; an empty table gives an empty table.
     """
     pairs = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codetrellis.llm.links import connected
 from codetrellis.operators import modules, reachability
 from codetrellis.operators.declarations import declarations
 from codetrellis.operators.facts import _extracted, text_key
@@ -21,6 +22,13 @@ def test_guessed_sizes_stay_bounded_over_rounds(spark):
     assert {tuple(r) for r in found.collect()} == {(i, 32) for i in range(20)}
 
 
+def test_connected_keeps_small_guesses(spark):
+    # a path of 40 nodes in an order that takes several rounds
+    found = connected(spark.range(39).select(((F.col("id") * 7) % 40).alias("u"), (((F.col("id") + 1) * 7) % 40).alias("v")))
+    assert _guess(found) <= 64
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(40)}
+
+
 def test_index_of_a_deep_graph_keeps_small_guesses(spark):
     part = spark.range(200)
     edges = part.filter("id >= 2").select(
