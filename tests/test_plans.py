@@ -6,6 +6,7 @@ from codetrellis.llm.links import connected
 from codetrellis.operators import modules, reachability
 from codetrellis.operators.declarations import declarations
 from codetrellis.operators.facts import _extracted, text_key
+from codetrellis.operators.references import references, resolve_references
 from codetrellis.session import brief, broadcast_as_measured, cut
 
 
@@ -169,3 +170,11 @@ def test_the_file_graph_weighs_edges_by_pairs_of_files(spark):
     pairs = modules.file_pairs(located)
     assert {tuple(r)[2:] for r in pairs.collect()} == {("x", "x", 1, 2), ("x", "y", 2, 7), ("y", None, 1, 5)}
     assert {r.path: r.weight for r in modules.connectedness(pairs).collect()} == {"x": 3, "y": 3}
+
+
+def test_a_path_is_standardized_once_for_all_its_names(corpus_of):
+    files = corpus_of({"a/x.js": "import y from './y'\n", "a/y.ts": "", "a/b/index.js": ""})
+    found = resolve_references(references(files), files)
+    # the fold over the parts of a path: one for the files and those of what is referred to
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 8
+    assert {(r.src_path, r.dst_path) for r in found.collect()} == {("a/x.js", "a/y.ts")}
